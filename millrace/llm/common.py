@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,18 @@ def parts_for(df: DataFrame, total_bytes: int, target: int) -> int:
     """Partitions of about ``target`` bytes each, and at least the session's shuffle partitions."""
     least = int(session(df).conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total_bytes // target), 1)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text each, so that what Python holds of it stays small."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < len(sizes):
+        yield batch.slice(start)
