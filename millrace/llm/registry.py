@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens
+from . import exact, mixing, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_files": tokens.op2_token_files,
+        "op6_exact_dedup": exact.op6_exact_dedup,
     }
 
 
 def oracles() -> dict:
-    return {"op1_mix_sources": mixing.SQL}
+    return {
+        "op1_mix_sources": mixing.SQL,
+        "op6_exact_dedup": exact.SQL,
+    }
