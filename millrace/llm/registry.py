@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, tokens
+from . import decontaminate, exact, mixing, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_files": tokens.op2_token_files,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
@@ -17,4 +18,5 @@ def oracles() -> dict:
     return {
         "op1_mix_sources": mixing.SQL,
         "op6_exact_dedup": exact.SQL,
+        "op7_decontaminate": decontaminate.SQL,
     }
