@@ -16,7 +16,6 @@ not read.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -74,24 +73,60 @@ class Encoder:
             and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
         )
         self.memo: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        if self.splits:
+            size = self.tokenizer.get_vocab_size()
+            self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # one character stands for each byte
+            for x in added:
+                self.bytes_of[x["id"]] = len(x["content"].encode())
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each start with the space they were cut at, from one run over all of them."""
+        if not pieces:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(x.encode()) for x in pieces])
+        cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right") * 4).tolist()
+        whole, start, out = ids.tobytes(), 0, []
+        for end in cuts:
+            out.append(whole[start:end])
+            start = end
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return self._ids(texts)
-        cut = []
+        memo, heads, cut = self.memo, [], []
         for text in texts:
             first, *rest = _SPLIT.split(text)
-            cut.append([first, *[" " + x for x in rest]])
+            heads.append(first)
+            cut.append([" " + x for x in rest])
+        found = set().union(*cut)
+        new = [x for x in found if x not in memo]
+        fresh = dict(zip(new, self._pieces(new), strict=True))
+        both = memo | fresh if len(fresh) > len(memo) else None
+        if both is None:
+            memo.update(fresh)
+            both = memo
+        out = [a + b"".join([both[x] for x in b]) for a, b in zip(self._ids(heads), cut, strict=True)]
+        self._remember(fresh)
+        return out
+
+    def _remember(self, fresh: dict[str, bytes]) -> None:
+        """Keep the pieces that came up in an earlier call too; most others never come up again."""
+        for x in fresh.keys() - self.once:
+            self.memo.pop(x, None)
+        for x in fresh.keys() & self.once:
+            self.memo[x] = fresh[x]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        memo = self.memo
-        new = list({x for pieces in cut for x in pieces if x not in memo})
-        memo.update(zip(new, self._ids(new), strict=True))
-        return [b"".join([memo[x] for x in pieces]) for pieces in cut]
+        if len(self.once) > MEMO_PIECES:
+            self.once.clear()
+        self.once |= fresh.keys()
 
 
 _ENCODERS: dict[str, Encoder] = {}
