@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, mixing, tokens
+from . import decontaminate, exact, licenses, mixing, quality, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_files": tokens.op2_token_files,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_quality": quality.op5_quality,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_license_scan": licenses.op8_license_scan,
     }
 
 
@@ -19,4 +22,5 @@ def oracles() -> dict:
         "op1_mix_sources": mixing.SQL,
         "op6_exact_dedup": exact.SQL,
         "op7_decontaminate": decontaminate.SQL,
+        "op8_license_scan": licenses.SQL,
     }
