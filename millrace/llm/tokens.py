@@ -36,12 +36,14 @@ MAX_BITS = 16
 #: Id appended to each document.
 END_ID = 0
 #: Pieces of text whose ids a worker remembers; the memory is emptied when full.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 150_000
 #: Bytes of text in each range of documents.
 RANGE_BYTES = 24 << 20
 
 #: A single space between two characters that aren't space: byte-level BPE never joins what stands before it and after it.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside other white space, where a plain split would cut what belongs together.
+_UNSAFE = (re.compile(r" \s"), re.compile(r"[^\S ] "))
 
 
 def default_tokenizer() -> str:
@@ -84,11 +86,11 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each start with the space they were cut at, from one run over all of them."""
+        """Ids of pieces, each with the space that it was cut at, from one run over all of them."""
         if not pieces:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(x.encode()) for x in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + x for x in pieces])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(x.encode()) + 1 for x in pieces])
         cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right") * 4).tolist()
         whole, start, out = ids.tobytes(), 0, []
         for end in cuts:
@@ -102,17 +104,15 @@ class Encoder:
             return self._ids(texts)
         memo, heads, cut = self.memo, [], []
         for text in texts:
-            first, *rest = _SPLIT.split(text)
-            heads.append(first)
-            cut.append([" " + x for x in rest])
+            plain = text[:1] != " " and text[-1:] != " " and not any(x.search(text) for x in _UNSAFE)
+            pieces = text.split(" ") if plain else _SPLIT.split(text)
+            heads.append(pieces[0])
+            cut.append(pieces[1:])
         found = set().union(*cut)
         new = [x for x in found if x not in memo]
         fresh = dict(zip(new, self._pieces(new), strict=True))
-        both = memo | fresh if len(fresh) > len(memo) else None
-        if both is None:
-            memo.update(fresh)
-            both = memo
-        out = [a + b"".join([both[x] for x in b]) for a, b in zip(self._ids(heads), cut, strict=True)]
+        memo.update(fresh)
+        out = [a + b"".join([memo[x] for x in b]) for a, b in zip(self._ids(heads), cut, strict=True)]
         self._remember(fresh)
         return out
 
@@ -120,8 +120,6 @@ class Encoder:
         """Keep the pieces that came up in an earlier call too; most others never come up again."""
         for x in fresh.keys() - self.once:
             self.memo.pop(x, None)
-        for x in fresh.keys() & self.once:
-            self.memo[x] = fresh[x]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         if len(self.once) > MEMO_PIECES:
@@ -237,7 +235,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, ahead = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, most=1 << 20):
                 out = []
                 for data in enc.encode(rows.column("text").to_pylist()):
                     ids = np.frombuffer(data + end, "<u4")
