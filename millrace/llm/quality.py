@@ -126,21 +126,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``quality_score``; the other columns stay. ``docs`` has no column of that name."""
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name``, which it has not; the other columns stay."""
     shared = session(docs).sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for rows in text_slices(batch):
                 found = model.score([x or "" for x in rows.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that score at least ``least``, with their own columns."""
+    return score(docs, train(docs, labels), "_quality").where(F.col("_quality") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, licenses, mixing, passages, quality, suffixes, tokens, toxicity
+from . import decontaminate, exact, jaccard, licenses, mixing, passages, quality, suffixes, tokens, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_passages": passages.op9_passages,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 

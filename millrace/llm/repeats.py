@@ -42,6 +42,7 @@ NULL_ID = (1 << 63) - 1
 _ODD = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)), bytes(range(ord("a"), ord("z") + 1)))
 _SYMBOLS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -73,8 +74,10 @@ def _sums(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Text:
     """The texts of some documents end to end, each followed by a line feed, and their units."""
 
-    def __init__(self, texts: list[str | None], words: bool) -> None:
+    def __init__(self, texts: list[str | None], words: bool, lower: bool = False) -> None:
         data = [(x or "").encode() for x in texts]
+        if lower:
+            data = [x.translate(_LOWER) for x in data]
         self.raw = b"\n".join([*data, b""])
         self.bytes = np.frombuffer(self.raw, np.uint8)
         sizes = np.array([len(x) for x in data], np.int64)
