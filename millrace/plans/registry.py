@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import paragraphs
+
+_MODULES = (paragraphs,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.queries().items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.oracles().items()}
