@@ -186,7 +186,7 @@ _SENT = pa.schema([("owner", pa.int32()), ("payload", pa.binary())])
 
 
 def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
-    """Step 3: (b, payload) of class ids and the prefix hashes that they share with a class of fitting size."""
+    """Step 3: (b, payload): class ids, the prefix hashes they share with a class of fitting size, and each hash's blocks."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,58 +214,60 @@ def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
         # In order of size, a set fits some other if it fits the next or the one before.
         fits = (h[1:] == h[:-1]) & (n[:-1] * DOWN >= n[1:] * UP)
         some = np.concatenate([fits, [False]]) | np.concatenate([[False], fits])
-        out = [(b, pickle.dumps(tuple(x), 5)) for b, x in _by_bucket(_bucket(doc[some], buckets), doc[some], h[some])]
+        h, doc = h[some], doc[some]
+        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        counts = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
+        out = [(b, pickle.dumps(tuple(x), 5)) for b, x in _by_bucket(doc % buckets, doc, h, -(-counts // BLOCK))]
         return pa.Table.from_batches([_batch(out, _SENT)])
 
     return classes.select("doc", "n", "prefix").mapInArrow(send, "owner int, payload binary").groupBy("owner").applyInArrow(answer, "owner int, payload binary").withColumnRenamed("owner", "b")
 
 
-def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return doc % buckets
+def place(classes: DataFrame, answers: DataFrame, owners: int, buckets: int) -> DataFrame:
+    """(owner, payload): recurring hashes with their classes; a class's bitmap goes once to each owner that needs it.
 
-
-_MET = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
-
-
-def place(classes: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Each class with its bitmap once for each recurring hash."""
+    A hash of more than ``BLOCK`` classes is dealt out by pairs of blocks, each class to all pairs of its block, so that no
+    hash is too large for a task.
+    """
 
     def run(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
         parts = [pickle.loads(x) for x in found.column("payload").to_pylist()]
         if not parts or not len(own):
-            return _MET.empty_table()
-        doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ids = own.column("doc").to_numpy()
-        order = np.argsort(ids)
+            return pa.Table.from_batches([_batch([], _SENT)])
+        doc, h, blocks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, n, maps = own.column("doc").to_numpy(), own.column("n").to_numpy(), own.column("bitmap").to_pylist()
+        order = np.argsort(ids, kind="stable")
         at = order[np.searchsorted(ids[order], doc)]
-        took = own.select(["doc", "n", "bitmap"]).take(pa.array(at))
-        return pa.table([pa.array(h.view(np.int64)), pa.array(np.zeros(len(h), np.int32)), *took.columns], schema=_MET)
+        mine = (_mix(doc.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        h, at, mine, blocks = (np.repeat(x, blocks) for x in (h, at, mine, blocks))
+        salt = np.minimum(mine, other) * blocks + np.maximum(mine, other)
+        to = (_mix(h + salt.astype(np.uint64)) % np.uint64(owners)).astype(np.int64)
+        out = []
+        for owner, (hh, ss, aa) in _by_bucket(to, h, salt, at):
+            some, number = np.unique(aa, return_inverse=True)
+            out.append((owner, pickle.dumps((hh, ss.astype(np.int32), number.astype(np.int32), ids[some], n[some], [maps[i] for i in some]), 5)))
+        return pa.Table.from_batches([_batch(out, _SENT)])
 
     left = classes.select("doc", "n", "bitmap", F.pmod("doc", F.lit(buckets)).cast("int").alias("b")).groupBy("b")
-    return left.cogroup(answers.groupBy("b")).applyInArrow(run, "h long, salt int, doc long, n long, bitmap binary")
+    return left.cogroup(answers.groupBy("b")).applyInArrow(run, "owner int, payload binary")
 
 
-def meet(placed: DataFrame, owners: int) -> DataFrame:
-    """Step 4: (a, b) links of candidates, a forest for each hash.
-
-    A task gets many hashes. A hash of more than ``BLOCK`` classes is dealt out by pairs of blocks, each class to all pairs
-    of its block, so that no hash is too large for a task.
-    """
-    counts = placed.groupBy("h").count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    joined = placed.join(F.broadcast(counts) if counts.limit(100_001).count() <= 100_000 else counts, "h", "left")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
-    dealt = joined.withColumn("salt", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    dealt = dealt.withColumn("owner", F.pmod(F.xxhash64("h", "salt"), F.lit(owners)).cast("int")).select("owner", "h", "salt", "doc", "n", "bitmap")
+def meet(placed: DataFrame) -> DataFrame:
+    """Step 4: (a, b) links of candidates, a forest for each task; a task gets many hashes."""
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h, salt, doc, n = (table.column(c).to_numpy() for c in ("h", "salt", "doc", "n"))
-        maps = table.column("bitmap").to_pylist()
+        parts, seen, rows = [pickle.loads(x) for x in table.column("payload").to_pylist()], 0, []
+        for x in parts:
+            rows.append(x[2].astype(np.int64) + seen)
+            seen += len(x[3])
+        h, salt, doc, n = (np.concatenate([x[k] for x in parts]) for k in (0, 1, 3, 4))
+        maps = [m for x in parts for m in x[5]]
         # Classes that share many hashes meet many times here; one union for the task keeps a single link of each pair.
         names, heads, number = np.unique(doc, return_index=True, return_inverse=True)
         own = [np.frombuffer(maps[i], np.uint64) for i in heads]
-        sizes, joined, out = n[heads], Union(len(names)), []
+        sizes, number, joined, out = n[heads], number[np.concatenate(rows)], Union(len(names)), []
         order = np.lexsort((number, salt, h))
         h, salt, number = h[order], salt[order], number[order]
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(salt) != 0)]))
@@ -292,7 +294,7 @@ def meet(placed: DataFrame, owners: int) -> DataFrame:
                         out.append((names[x], names[y]))
         return pa.Table.from_batches([_batch(out, links)])
 
-    return dealt.groupBy("owner").applyInArrow(run, "a long, b long")
+    return placed.groupBy("owner").applyInArrow(run, "a long, b long")
 
 
 def may_link(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -414,17 +416,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(sketch(docs))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "rk", "n", "bitmap", "prefix")).alias("c"))
     classes = materialize(classes.select("digest", "c.*"))
+    sketches, rows = rows, materialize(rows.select("rk", "doc", "n", "digest"))
+    release_shuffles(spark)
+    discard(sketches)
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("bytes")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners, buckets = max(parts, -(-size.bytes // (8 * OWNER_HASHES))), max(parts, -(-size.n // 50_000))
     answers = materialize(recurring(classes, owners, buckets))
     release_shuffles(spark)
-    placed = place(classes, answers, buckets)
-    placed = materialize(placed)
-    release_shuffles(spark)
-    candidates = materialize(components(meet(placed, 2 * owners)))
+    candidates = materialize(components(meet(place(classes, answers, owners, buckets))))
     release_shuffles(spark)
-    discard(placed)
+    discard(answers)
     members = classes.select("rk", "doc").join(candidates.select(F.col("node").alias("doc"), F.col("label").alias("group")), "doc").withColumn("label", F.col("doc"))
     members = materialize(members)
     large = materialize(members.groupBy("group").count().where(F.col("count") > BLOCK).select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
