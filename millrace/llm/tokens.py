@@ -33,10 +33,12 @@ CHECKPOINT = 64
 BLOCK_IDS = 1 << 18
 #: Longest code; grows only for a vocabulary that needs more.
 MAX_BITS = 16
+#: Pieces encoded in one call.
+STRETCH = 2_000
 #: Id appended to each document.
 END_ID = 0
 #: Pieces of text whose ids a worker remembers; the memory is emptied when full.
-MEMO_PIECES = 150_000
+MEMO_PIECES = 60_000
 #: Bytes of text in each range of documents.
 RANGE_BYTES = 24 << 20
 
@@ -60,27 +62,25 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
         import os
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
+        self.tokenizer = t = Tokenizer.from_file(path)
+        pre, added = t.pre_tokenizer, t.get_added_tokens_decoder()
         self.splits = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind.get("normalizer") is None
-            and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
+            isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and t.normalizer is None
+            and not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in added.values())
         )
         self.memo: dict[str, bytes] = {}
         self.once: set[str] = set()
         if self.splits:
             size = self.tokenizer.get_vocab_size()
             self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # one character stands for each byte
-            for x in added:
-                self.bytes_of[x["id"]] = len(x["content"].encode())
+            for i, x in added.items():
+                self.bytes_of[i] = len(x.content.encode())
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +89,9 @@ class Encoder:
         """Ids of pieces, each with the space that it was cut at, from one run over all of them."""
         if not pieces:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + x for x in pieces])], add_special_tokens=False)[0].ids, "<u4")
+        # The library keeps many bytes for each character of a text while it encodes it, so the run goes in stretches.
+        runs = ["".join([" " + x for x in pieces[i : i + STRETCH]]) for i in range(0, len(pieces), STRETCH)]
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in runs])
         ends = np.cumsum([len(x.encode()) + 1 for x in pieces])
         cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right") * 4).tolist()
         whole, start, out = ids.tobytes(), 0, []
