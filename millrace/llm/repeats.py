@@ -14,7 +14,7 @@ phrases with the same content hold the same windows at the same places.
 4. ``settle``: owners compare windows of different phrases with the same trigger, exactly, by the caller's method.
 5. ``finish``: the documents meet all repeated windows and are cut.
 
-Phrases are told apart by 64 bits beside the 64 of their trigger. Rows are addressed by the 64-bit digest of id and text.
+Phrases are told apart by 48 bits beside 48 of their trigger. Rows are addressed by the 64-bit digest of id and text.
 A null id counts as larger than any other.
 """
 
@@ -136,6 +136,15 @@ def _pack(*arrays: np.ndarray | bytes) -> bytes:
     return pickle.dumps(arrays, 5)
 
 
+def _six(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower six bytes of each number."""
+    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
+
+
+def _eight(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -197,8 +206,8 @@ def parse(work: DataFrame, words: bool, owners: int, buckets: int) -> DataFrame:
         by_row = np.lexsort((ordinal[keep], rk[keep], doc[keep]))
         for to, (a, e, d, r, o) in _by_bucket(owner[keep][by_row], *(x[keep][by_row] for x in (trigger, digest, doc, rk, ordinal))):
             fresh = np.concatenate([[True], (r[1:] != r[:-1])])
-            turn = np.diff(o, prepend=0).astype(np.int32)
-            rows.append((to, 0, 0, _pack(a, e, d[fresh], r[fresh], fresh, turn)))
+            places = o.astype(np.uint16 if o.max() < 1 << 16 else np.uint32)
+            rows.append((to, 0, 0, _pack(*_six(a), *_six(e), d[fresh], r[fresh], np.packbits(fresh), places)))
         some = known & once
         for b, (r, o) in _by_bucket((rk % buckets)[some], rk[some], ordinal[some].astype(np.int32)):
             rows.append((b % owners, 1, b, _pack(r, o, np.ones(len(r), np.uint8))))
@@ -216,9 +225,9 @@ def dictionary(sent: DataFrame, buckets: int) -> DataFrame:
             if kind:
                 out.append((0, 1, b, payload))
             else:
-                a, e, d, r, fresh, turn = pickle.loads(payload)
-                at = np.cumsum(fresh) - 1
-                parts.append((a, e, d[at], r[at], np.cumsum(turn)))
+                *sixes, d, r, fresh, places = pickle.loads(payload)
+                at = np.cumsum(np.unpackbits(fresh, count=len(places)), dtype=np.int64) - 1
+                parts.append((_eight(*sixes[:2]), _eight(*sixes[2:]), d[at], r[at], places.astype(np.int64)))
         if parts:
             a, e, d, r, o = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((d, e, a))
