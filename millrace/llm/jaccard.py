@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct 5-word shingles. Two documents link at a Jaccard similarity of 0.75.
 
 1. ``sketch``: each document is reduced to the digest and size of its set, a bitmap of it (a power of two
-   of bits, above the size) and its prefix: the smallest hashes, so many that two sets which link share one of them.
+   of bits, above one and a half times the size) and its prefix: the smallest hashes, so many that two sets which link share one of them.
 2. Documents with one digest are a class; its smallest id stands for it. Classes are joined, copies never are.
 3. ``recurring``: owners of hashes find the prefix hashes that classes of fitting sizes share.
 4. ``meet``: classes that share such a hash meet in a signature tree. Its nodes hold OR-combined bitmaps and size ranges; the
@@ -37,8 +37,9 @@ from .repeats import NULL_ID, Text, _batch, _by_bucket, _mix, _sums
 SHINGLE = 5
 #: The least similarity, as a fraction: 75 / 100.
 UP, DOWN = 75, 100
-#: Bits of a bitmap by size of the set: a power of two from BITS_LEAST to BITS_MOST.
-BITS_LEAST, BITS_MOST = 64, 4096
+#: Bits of a bitmap: a power of two, 1.5 to 3 times the size of the set, from BITS_LEAST to BITS_MOST. With fewer, sets that
+#: merely share a shingle pass often enough to join into one large component of candidates.
+BITS_LEAST, BITS_MOST = 128, 16384
 #: Documents in a leaf of a signature tree.
 LEAF = 64
 #: Classes in a block, and the most that a task of ``resolve`` holds is two blocks.
@@ -80,7 +81,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def bits_for(n: int) -> int:
-    return min(BITS_MOST, max(BITS_LEAST, 1 << max(n - 1, 1).bit_length()))
+    return min(BITS_MOST, max(BITS_LEAST, 1 << (3 * n // 2).bit_length()))
 
 
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -103,13 +104,15 @@ class Tree:
     def __init__(self, sizes: np.ndarray, maps: list[np.ndarray]) -> None:
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order]
-        # Bitmaps are brought to the width of the smallest set that can meet: a leaf's own.
+        widths = np.array([len(maps[i]) for i in self.order])
+        # A leaf ends where bitmaps get wider: folded to the narrowest of all sizes, those of large sets would be full.
+        cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(sizes)]
         self.leaves = []
-        for a in range(0, len(sizes), LEAF):
-            own = [maps[i] for i in self.order[a : a + LEAF]]
-            narrow = min(len(m) for m in own)
-            table = np.array([fold(m, narrow) for m in own])
-            self.leaves.append((a, table, np.bitwise_or.reduce(table, axis=0), self.sizes[a], self.sizes[min(a + LEAF, len(sizes)) - 1]))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for a in range(lo, hi, LEAF):
+                z = min(a + LEAF, hi)
+                table = np.array([maps[i] for i in self.order[a:z]])
+                self.leaves.append((a, table, np.bitwise_or.reduce(table, axis=0), self.sizes[a], self.sizes[z - 1]))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Dual traversal: batches of pairs (as places in the input) whose largest possible overlap is enough.
