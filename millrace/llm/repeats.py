@@ -358,6 +358,8 @@ def cut_repeats(docs: DataFrame, words: bool, settler: Settler, finisher: Finish
     sent = materialize(collect(work, flags, words, owners))
     release_shuffles(spark)
     discard(flags)
-    more = materialize(settle(sent, settler, buckets))
-    covers = sent.where("kind = 1").select("b", "payload").unionByName(more)
+    more = settle(sent, settler, buckets)
+    covers = materialize(sent.where("kind = 1").select("b", "payload").unionByName(more))
+    release_shuffles(spark)
+    discard(sent)
     return finish(work, covers, words, finisher, schema)
