@@ -76,7 +76,7 @@ class Model:
 
     def _of(self, token: str) -> tuple[int, ...]:
         if (hit := self.known.get(token)) is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             hit = self.known[token] = tuple(self.where[x] for x in (token, shape(token)) if x in self.where)
         return hit

@@ -38,7 +38,7 @@ STRETCH = 2_000
 #: Id appended to each document.
 END_ID = 0
 #: Pieces of text whose ids a worker remembers; the memory is emptied when full.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 150_000
 #: Bytes of text in each range of documents.
 RANGE_BYTES = 24 << 20
 
@@ -118,6 +118,11 @@ class Encoder:
         self._remember(fresh)
         return out
 
+    def forget(self) -> None:
+        """Give the memory back: the worker may serve other operators next."""
+        self.memo.clear()
+        self.once.clear()
+
     def _remember(self, fresh: dict[str, bytes]) -> None:
         """Keep the pieces that came up in an earlier call too; most others never come up again."""
         for x in fresh.keys() - self.once:
@@ -246,6 +251,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                     ahead += len(ids)
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "ids", "width", "part", "ahead"])
+        enc.forget()
 
     ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "doc_id long, ids binary, width int, part int, ahead long")

@@ -101,7 +101,7 @@ class Model:
 
     def _of(self, word: str) -> tuple[int, ...]:
         if (hit := self.known.get(word)) is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             hit = self.known[word] = tuple(self.where[x] for x in _expand(word) if x in self.where)
         return hit
