@@ -82,7 +82,7 @@ def clear_punctuation(t: Column) -> Column:
     out = t
     for p in L.PUNCTUATION:
         touches = t.contains(p + " ") | t.contains(" " + p) | t.rlike("[0-9],[0-9]")
-        out = F.when(touches, F.replace(out, F.lit(p), F.lit(""))).otherwise(F.replace(out, F.lit(p), F.lit(" ")))
+        out = F.replace(out, F.lit(p), F.when(touches, "").otherwise(" "))
     parts = F.split(out, r"\.(?![0-9])", 33)
     return F.array_join(parts, "")
 

@@ -120,7 +120,11 @@ def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> D
     rows = pairs.select(F.monotonically_increasing_id().alias("row"), *[F.array_remove(F.split(F.lower(c), r"\s+"), "").alias(k) for k, c in (("p", prediction), ("r", reference))])
 
     def grams(side: str) -> DataFrame:
-        every = F.flatten(F.array(*[F.transform(F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, F.lit(n)), " ").alias("g"))) for n in range(1, order + 1)]))
+        def of_length(n: int) -> Column:
+            starts = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, F.lit(n)), " ").alias("g")))
+
+        every = F.flatten(F.array(*map(of_length, range(1, order + 1))))
         return rows.select("row", F.explode(every).alias("x")).groupBy("row", "x.n", "x.g").agg(F.count(F.lit(1)).alias(f"c_{side}"))
 
     hit = grams("p").join(grams("r"), ["row", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("c_p", F.coalesce("c_r", F.lit(0)))).alias("hit"), F.sum("c_p").alias("all"))

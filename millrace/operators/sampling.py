@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def one_per_group(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataF
     return best.select(group, *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
+def pinned(rows: DataFrame) -> DataFrame:
+    """Rows computed once and kept in the checkpoint folder that the session names; a folder of our own only without one."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+    return rows.checkpoint()
+
+
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """Rows with their place ``pos`` from 0.
 
@@ -37,6 +48,7 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, order).sortWithinPartitions(order)
     placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = pinned(placed)  # the ranges are sampled, so a second run of the plan could cut them elsewhere
     sizes = dict(placed.groupBy("_part").count().collect())
     ahead, before = 0, []
     for p in range(n):

@@ -89,7 +89,7 @@ def heads_discard(spark, sf_dir: str) -> DataFrame:
 
 def _gate(condition):
     def query(spark, sf_dir: str) -> DataFrame:
-        return _docs(spark, sf_dir).where(condition).select("doc_id")
+        return _docs(spark, sf_dir).where(condition()).select("doc_id")
 
     return query
 
@@ -120,12 +120,12 @@ def queries() -> dict:
         "f27_last_bracket": _rest("f27", P.last_bracket),
         "f24_square_brackets": _rest("f24", P.square_brackets),
         "f02_underline_split": _rest("f02", lambda ps: F.flatten(F.transform(ps, P.underline_segments))),
-        "g1_words": _gate(P.gate_words(F.col("text"))),
-        "g2_alpha": _gate(P.gate_alphabetic(F.col("text"))),
-        "g3_stopwords": _gate(P.gate_stop_words(F.col("text"))),
-        "g4_flagged": _gate(P.gate_flagged(F.col("text"))),
+        "g1_words": _gate(lambda: P.gate_words(F.col("text"))),
+        "g2_alpha": _gate(lambda: P.gate_alphabetic(F.col("text"))),
+        "g3_stopwords": _gate(lambda: P.gate_stop_words(F.col("text"))),
+        "g4_flagged": _gate(lambda: P.gate_flagged(F.col("text"))),
         "g5_img_ratio": gate_images,
-        "g6_para_lengths": _gate(P.gate_paragraph_lengths(F.split("text", "\n"))),
+        "g6_para_lengths": _gate(lambda: P.gate_paragraph_lengths(F.split("text", "\n"))),
         "cascade_keep_by_lang": cascade_keep_by_lang,
         "cascade_audit": drop_audit,
         "f04_trim_incomplete": lambda s, d: _docs(s, d).select("doc_id", F.length(P.trim_incomplete(F.split("text", "\n")[0])).cast("long").alias("n_chars")),

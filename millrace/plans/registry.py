@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import paragraphs
+from . import evaluation, paragraphs, shaping
 
-_MODULES = (paragraphs,)
+_MODULES = (paragraphs, evaluation, shaping)
 
 
 def queries() -> dict:
