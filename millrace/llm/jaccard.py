@@ -48,6 +48,9 @@ BLOCK = 4096
 FEW = 12
 #: Prefix hashes an owner sorts at once, about.
 OWNER_HASHES = 2_000_000
+#: Prefix hashes behind each task of ``meet``. A class's bitmap goes to every task that one of its hashes belongs to, so a
+#: few large tasks send less than many small ones.
+MEET_HASHES = 4_000_000
 #: Candidates whose texts are found by a broadcast of their ids.
 BROADCAST_CANDIDATES = 500_000
 
@@ -427,7 +430,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owners, buckets = max(parts, -(-size.bytes // (8 * OWNER_HASHES))), max(parts, -(-size.n // 50_000))
     answers = materialize(recurring(classes, owners, buckets))
     release_shuffles(spark)
-    candidates = materialize(components(meet(place(classes, answers, owners, buckets))))
+    meetings = max(spark.sparkContext.defaultParallelism, -(-size.bytes // (8 * MEET_HASHES)))
+    candidates = materialize(components(meet(place(classes, answers, meetings, buckets))))
     release_shuffles(spark)
     discard(answers)
     members = classes.select("rk", "doc").join(candidates.select(F.col("node").alias("doc"), F.col("label").alias("group")), "doc").withColumn("label", F.col("doc"))
