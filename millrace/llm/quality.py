@@ -56,7 +56,7 @@ class Model:
             small = self._times(rows, wide)
             _, _, turn = np.linalg.svd(small, full_matrices=False)
             self.basis = np.ascontiguousarray((wide @ turn.T)[:, :dimensions], dtype=np.float32)
-        self.vectors = self._unit(np.array([self._project(x) for x in rows], np.float32).reshape(n, -1))
+        self.vectors = self._unit(np.array([self._project(x) for x in rows], np.float32).reshape(n, self.basis.shape[1]))
 
     @staticmethod
     def _expand(text: str) -> list[str]:
