@@ -114,3 +114,18 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         (source / f"{batch[0]}.json").write_text("\n".join(json.dumps({"id": i}) for i in batch))
         run()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 4]
+
+
+def test_sinks(spark, tmp_path):
+    from millrace.sources import sinks
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(7)], "id long, text string").coalesce(1)
+    shards = sinks.tar_shards(rows, "id", "txt", "text", 3).collect()
+    names = [m.name for s in shards for m in tarfile.open(fileobj=io.BytesIO(bytes(s.tar)))]
+    assert sorted(names) == [f"{i}.txt" for i in range(7)] and len(shards) == 3
+    sinks.json_lines(rows, str(tmp_path / "out"), "id")
+    assert spark.read.json(str(tmp_path / "out")).count() == 7
+    questions = spark.createDataFrame([(1, "a"), (2, "b")], "q long, image string")
+    predictions = spark.createDataFrame([(2, "yes"), (3, "no")], "q long, answer string")
+    assert {(r.q, r.answer) for r in sinks.submission(predictions, questions, "q", "answer").collect()} == {(1, ""), (2, "yes"), (3, "no")}
+    assert {(r.image, r.answer) for r in sinks.submission_by_question(predictions, questions, "q", "answer", "image").collect()} == {("a", ""), ("b", "yes")}
