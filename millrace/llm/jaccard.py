@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles, session, text_slices
+from .common import discard, materialize, release_shuffles, session, text_slices, trim_worker
 from .repeats import NULL_ID, Text, _batch, _by_bucket, _mix, _sums
 
 SHINGLE = 5
@@ -184,6 +184,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
                     out.append((rk, doc, len(s), digest, bitmap(s, bits_for(len(s))).tobytes(), s[: prefix_length(len(s))].tobytes()))
                 yield _batch(out, _SKETCH)
+        trim_worker()
 
     return work.mapInArrow(run, "rk long, doc long, n long, digest binary, bitmap binary, prefix binary")
 
@@ -207,6 +208,7 @@ def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
                 fresh = np.concatenate([[True], r[1:] != r[:-1]])
                 rows.append((owner, pickle.dumps((h, doc[r[fresh]], n[r[fresh]], fresh), 5)))
             yield _batch(rows, _SENT)
+        trim_worker()
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         parts = []
@@ -224,6 +226,7 @@ def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
         first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
         counts = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
         out = [(b, pickle.dumps(tuple(x), 5)) for b, x in _by_bucket(doc % buckets, doc, h, -(-counts // BLOCK))]
+        trim_worker()
         return pa.Table.from_batches([_batch(out, _SENT)])
 
     return classes.select("doc", "n", "prefix").mapInArrow(send, "owner int, payload binary").groupBy("owner").applyInArrow(answer, "owner int, payload binary").withColumnRenamed("owner", "b")
@@ -298,6 +301,8 @@ def meet(placed: DataFrame) -> DataFrame:
                 for x, y in zip(part[i].tolist(), part[j].tolist(), strict=True):
                     if joined.join(x, y):
                         out.append((names[x], names[y]))
+        del parts, maps, own
+        trim_worker()
         return pa.Table.from_batches([_batch(out, links)])
 
     return placed.groupBy("owner").applyInArrow(run, "a long, b long")
@@ -386,6 +391,7 @@ def resolve(sets: DataFrame, keys: list[str], owners: int) -> DataFrame:
         order = np.lexsort((doc, *columns))
         cuts = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in columns], axis=0)) + 1
         out = [x for part in np.split(order, cuts) for x in links_of(doc[part], label[part], [np.frombuffer(own[i].as_buffer(), np.uint64) for i in part])]
+        trim_worker()
         return pa.Table.from_batches([_batch(out, _LINKS)])
 
     dealt = sets.withColumn("owner", F.pmod(F.xxhash64(*keys), F.lit(owners)).cast("int"))
@@ -405,6 +411,7 @@ def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             for rows in text_slices(batch):
                 sets = [s.tobytes() for s in shingle_sets(rows.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc", "group", "label")), pa.array(sets, pa.binary())], schema=schema)
+        trim_worker()
 
     return work.mapInArrow(run, "doc long, group long, label long, set binary")
 

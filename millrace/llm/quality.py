@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, text_slices
+from .common import session, text_slices, trim_worker
 from .features import SAMPLE_ROWS, held_out, repetition, sample, shape, tokens, vocabulary
 
 DIMENSIONS = 48
@@ -137,6 +137,8 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
             for rows in text_slices(batch):
                 found = model.score([x or "" for x in rows.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, name])
+        model.known.clear()
+        trim_worker()
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles, session, shared_folder, text_slices
+from .common import discard, materialize, release_shuffles, session, shared_folder, text_slices, trim_worker
 
 #: Ids between two checkpoints of the bit stream.
 CHECKPOINT = 64
@@ -252,6 +252,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "ids", "width", "part", "ahead"])
         enc.forget()
+        trim_worker()
 
     ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "doc_id long, ids binary, width int, part int, ahead long")
@@ -321,6 +322,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 following = ahead + len(own)
         if held:
             yield close()
+        trim_worker()
 
     encoded.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(encoded)
@@ -350,6 +352,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 starts = ends - counts
                 out = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=nulls), pa.array(starts + before[row["part"]] + row["ahead"]), pa.array(counts), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        trim_worker()
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
