@@ -1,7 +1,8 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows, then exact comparison.
 
-1. Anchors. A window alike enough shares a shingle with the item, so every shared shingle at word ``p`` of a document and
-   ``q`` of an item proposes the window that begins at ``p - q`` and has the item's length, cut at the document's ends.
+1. Windows. A window has the item's length, cut at the document's ends, and may begin at any word. One alike enough holds at
+   least ``THRESHOLD`` times as many places with a shingle of the item as the item has shingles, whatever their order. The
+   starts of all windows that do are ranges between those places, and every start in them is proposed.
 2. SimHash. Each proposed window and each item gets a 64-bit fingerprint of its shingles, each weighing as often as it
    occurs. Fingerprints are cut into ``RADIUS + 1`` blocks; two within ``RADIUS`` bits agree on one block at least, so a
    join on (item, block, value) finds all of them.
@@ -11,8 +12,8 @@
 At 0.75 the shingles of window and item differ in 11 of 64 bits on average (cosine 0.86); 20 is three deviations more.
 
 Shingles are five words, lower-cased; an item of fewer words is one shingle. Nulls and ties: a null or empty text or item
-matches nothing. Rows that repeat a document count once; of equally similar windows the first is given. Empty tables give
-no rows. Other columns are not read.
+matches nothing. Rows that repeat a document count once; of equally similar windows the first is given at which a shared
+shingle has its place of the item, or else the first. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,6 +62,20 @@ def _cut(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("row"), shingle_hashes(words(F.col("text")), k).alias("hs"))
 
 
+def _proposed(shared: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """(key, len, k, lo, hi): disjoint ranges of the starts of all windows with enough places of shared shingles.
+
+    A start after place ``i - 1`` and up to place ``i`` has ``least`` places within reach if place ``i + least - 1`` is.
+    """
+    least = F.greatest(F.ceil(threshold * (F.col("len") - F.col("k") + 1) - 1e-9).cast("int"), F.lit(1))
+    placed = shared.groupBy(*key, "len", "k").agg(F.array_sort(F.collect_set("p")).alias("ps")).withColumn("least", least).where(F.size("ps") >= F.col("least"))
+    before = lambda i: F.coalesce(F.get("ps", i - 1) + 1, -F.col("len"))
+    last = lambda i: F.get("ps", i + F.col("least") - 1) - F.col("len") + F.col("k")
+    ranges = F.transform("ps", lambda p, i: F.struct(F.greatest(last(i), before(i)).alias("lo"), p.alias("hi"), last(i).isNotNull().alias("enough")))
+    found = placed.select(*key, "len", "k", F.explode(F.filter(ranges, lambda r: r["enough"] & (r["lo"] <= r["hi"]))).alias("r"))
+    return found.select(*key, "len", "k", "r.lo", "r.hi")
+
+
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row, item_id, start_word, similarity, distance): each document and item alike enough, at its best window.
 
@@ -75,29 +90,30 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     shingled = materialize(shingled)
     few = shingled.count() <= BROADCAST_SHINGLES
     prints = materialize(shingled.groupBy("item_id").agg(fingerprint(F.col("h")).alias("item_fp")))
-    counts = shingled.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("in_item"), F.first("len").alias("len"), F.first("k").alias("k"))
+    counts = shingled.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("in_item"), F.collect_set("q").alias("qs"))
     texts = docs.select("doc_id", "text").where("text is not null")
 
     shared = []
     for k in sizes:
-        own = shingled.where(F.col("k") == k).select("h", "item_id", "q", "len")
+        own = shingled.where(F.col("k") == k).select("h", "item_id", "len").distinct()
         exploded = _cut(texts, k).select("doc_id", "row", F.posexplode("hs").alias("p", "h"))
         shared.append(exploded.join(F.broadcast(own) if few else own, "h").withColumn("k", F.lit(k)))
     shared = materialize(reduce(DataFrame.unionByName, shared).distinct())
 
     key = ["doc_id", "row", "item_id"]
     same = lambda a, b, names: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
-    windows = materialize(shared.select(*key, "len", "k", (F.col("p") - F.col("q")).alias("s")).distinct())
+    windows = materialize(_proposed(shared, key, threshold))
     few_windows = windows.count() <= BROADCAST_WINDOWS
     printed = []
     for k in sizes:
         own = windows.where(F.col("k") == k)
-        wanted = own.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "len", "s")).alias("ws")).withColumnsRenamed({"doc_id": "_d", "row": "_r"})
+        wanted = own.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "len", "lo", "hi")).alias("ws")).withColumnsRenamed({"doc_id": "_d", "row": "_r"})
         hit = texts.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"]) if not few_windows else texts.withColumn("row", F.xxhash64("text"))
         wanted = F.broadcast(wanted) if few_windows else wanted
         hit = hit.join(wanted, hit["doc_id"].eqNullSafe(wanted["_d"]) & (hit["row"] == wanted["_r"]))
         hit = hit.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "ws", shingle_hashes(words(F.col("text")), k).alias("hs"))
-        one = hit.select("doc_id", "row", "hs", F.explode("ws").alias("w")).select("doc_id", "row", "w.*", F.expr(f"slice(hs, greatest(w.s, 0) + 1, greatest(least(w.s + w.len - {k} + 1, size(hs)) - greatest(w.s, 0), 0))").alias("inside"))
+        one = hit.select("doc_id", "row", "hs", F.explode("ws").alias("w")).select("doc_id", "row", "hs", "w.item_id", "w.len", F.explode(F.sequence("w.lo", "w.hi")).alias("s"))
+        one = one.select("doc_id", "row", "item_id", "len", "s", F.expr(f"slice(hs, greatest(s, 0) + 1, greatest(least(s + len - {k} + 1, size(hs)) - greatest(s, 0), 0))").alias("inside"))
         printed.append(one.select("doc_id", "row", "item_id", "len", "s", F.lit(k).alias("k"), F.size("inside").alias("n"), F.explode("inside").alias("h")))
     printed = materialize(reduce(DataFrame.unionByName, printed).groupBy(*key, "len", "s", "k", "n").agg(fingerprint(F.col("h")).alias("fp")))
 
@@ -111,12 +127,13 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     first = F.floor(F.col("s") / F.col("len"))
     near = near.withColumn("stretch", F.explode(F.array(first, first + 1)))
     both = near.alias("a").join(spots.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.stretch") == F.col("b.stretch")))
-    both = both.where((F.col("p") >= F.col("s")) & (F.col("p") <= F.col("s") + F.col("len") - F.col("k"))).select("a.doc_id", "a.row", "a.item_id", "s", "n", "distance", "len", "k", "h")
-    tally = both.groupBy(*key, "s", "n", "distance", "h").agg(F.count(F.lit(1)).alias("in_window")).join(counts, ["item_id", "h"])
-    overlap = tally.groupBy(*key, "s", "n", "distance", "len", "k").agg(F.sum(F.least("in_window", "in_item")).alias("both"))
+    both = both.where((F.col("p") >= F.col("s")) & (F.col("p") <= F.col("s") + F.col("len") - F.col("k"))).select("a.doc_id", "a.row", "a.item_id", "s", "n", "distance", "len", "k", "h", "p").join(counts, ["item_id", "h"])
+    in_place = F.max(F.array_contains("qs", F.col("p") - F.col("s"))).alias("in_place")
+    tally = both.groupBy(*key, "s", "n", "distance", "len", "k", "h", "in_item").agg(F.count(F.lit(1)).alias("in_window"), in_place)
+    overlap = tally.groupBy(*key, "s", "n", "distance", "len", "k").agg(F.sum(F.least("in_window", "in_item")).alias("both"), F.max("in_place").alias("in_place"))
     similarity = F.col("both") / (F.col("n") + F.col("len") - F.col("k") + 1 - F.col("both"))
     kept = overlap.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    best = F.min(F.struct((-F.col("similarity")).alias("less"), F.greatest("s", F.lit(0)).alias("start_word"), "distance")).alias("best")
+    best = F.min(F.struct((-F.col("similarity")).alias("less"), (~F.col("in_place")).alias("moved"), F.greatest("s", F.lit(0)).alias("start_word"), "distance")).alias("best")
     return kept.groupBy(*key).agg(best).select(*key, "best.start_word", (-F.col("best.less")).alias("similarity"), "best.distance")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -179,6 +180,31 @@ def test_decontaminate(spark, edge_docs, edge_rows):
     assert {r.doc_id for r in decontaminate.clean(edge_docs, items).collect()} == {r[0] for r in edge_rows} - {d for d, _ in want}
 
 
+def test_decontaminate_windows_begin_anywhere(spark):
+    """Parts of an item in another order: the alike window begins where no shared shingle has its place of the item."""
+    rng = random.Random(11)
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    item, short = [f"i{j}" for j in range(80)], [f"s{j % 7}" for j in range(30)]
+    bodies = [
+        filler(200) + item[40:] + item[:40] + filler(200), filler(50) + item[54:] + item[27:54] + item[:27] + filler(9), item[40:] + item[:40], filler(30) + item[:70] + filler(30),
+        item[12:], item[:66], filler(20) + short[20:] + short[:20] + filler(20), filler(9) + item[20:40] + item[:20] + item[60:] + item[40:60] + filler(9), filler(9) + item[::-1], short * 3,
+        filler(10) + item + filler(30) + item[40:] + item[:40],
+    ]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(bodies)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    grams = lambda x: Counter(tuple(x[p : p + 5]) for p in range(len(x) - 4))
+    want = {}
+    for d, w in enumerate(bodies):
+        for i, x in ((1, item), (2, short)):
+            alike = [((have := grams(w[max(s, 0) : s + len(x)])) & grams(x)).total() / (have | grams(x)).total() for s in range(5 - len(x), len(w) - 4)]
+            placed = {p - q for p in range(len(w) - 4) for q in range(len(x) - 4) if w[p : p + 5] == x[q : q + 5]}
+            best = max(range(len(alike)), key=lambda j: (alike[j], j + 5 - len(x) in placed, -max(j + 5 - len(x), 0)))
+            if alike[best] >= 0.75:
+                want[d, i] = (max(best + 5 - len(x), 0), round(alike[best], 9))
+    assert {(0, 1), (1, 1), (2, 1), (9, 2)} <= set(want)
+    assert {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in decontaminate.matches(docs, items).collect()} == want
+
+
 def test_licenses(spark):
     text = licenses.KNOWN["MIT"]
     varied = "Copyright (c) 2020 Someone\n" + text.replace("sublicense", "sub-license").replace('"', "“").upper() + "\n"
