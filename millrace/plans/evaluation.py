@@ -178,7 +178,9 @@ def missing(spark, sf_dir: str) -> DataFrame:
 
 
 def shard_ranges(spark, sf_dir: str) -> DataFrame:
-    shards = spark.range(0, 10).select(F.col("id").alias("shard"), (F.col("id") * 37).alias("start"), (F.col("id") * 37 + 36).alias("stop"))
+    """Shards of 37 ids each, from the smallest to the largest id of the table."""
+    ids = _table(spark, sf_dir, "documents").agg(F.floor(F.min("doc_id") / 37).alias("a"), F.floor(F.max("doc_id") / 37).alias("b"))
+    shards = ids.select(F.explode(F.sequence("a", "b")).alias("shard")).select("shard", (F.col("shard") * 37).alias("start"), (F.col("shard") * 37 + 36).alias("stop"))
     found = J.in_range(_table(spark, sf_dir, "documents").select("doc_id"), shards, "doc_id", "start", "stop")
     return found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_id") - F.col("start")).alias("places"))
 

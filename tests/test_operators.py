@@ -5,14 +5,18 @@ from __future__ import annotations
 import io
 import itertools
 import json
+import re
 import tarfile
 import zipfile
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import arrange, joins, metrics, paragraphs, sampling
+from millrace.plans import evaluation, shaping
+from millrace.plans import paragraphs as plans
 from millrace.sources import readers
 from millrace.streaming import ingest
 
@@ -52,6 +56,13 @@ def test_paragraph_edges(spark):
     assert [r.doc_id for r in paragraphs.cascade(docs).collect()] == [3]
 
 
+def test_shards_hold_every_document(spark, tmp_path):
+    spark.range(25, 1500, 3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter(d // 37 for d in range(25, 1500, 3))
+    got = {r.shard: (r.n, r.places) for r in evaluation.shard_ranges(spark, str(tmp_path)).collect()}
+    assert got == {s: (n, sum(d % 37 for d in range(25, 1500, 3) if d // 37 == s)) for s, n in want.items()}
+
+
 def test_bleu_of_equal_texts(spark):
     rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat")], "p string, r string")
     assert metrics.bleu(rows, "p", "r").first().bleu == 1.0
