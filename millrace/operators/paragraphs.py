@@ -159,12 +159,42 @@ def square_brackets(paras: Column) -> Column:
     return F.when((from_end > 0) & (from_end <= 5), cleaned).otherwise(paras)
 
 
-def trim_incomplete(p: Column) -> Column:
-    """Drop sentences from the front until one is complete; nothing is left if none is."""
-    parts = T.sentences(p)
-    done = F.transform(parts, lambda s: (s == "") | s.rlike("[.!?”\"]\\z"))
-    at = F.array_position(done, F.lit(True))
-    return F.when(at == 0, "").otherwise(F.array_join(F.slice(parts, at.cast("int"), F.size(parts)), " "))
+#: What stands between sentences; a closing quote belongs to it.
+SENTENCE_GAP = r"""(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)(?:"|')?\s"""
+
+
+def _bound(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def trim_incomplete(p: Column, last: bool = False) -> Column:
+    """Drop sentences from the front (the back if ``last``) until one is complete; nothing is left if none is."""
+
+    def trim(parts: Column, gaps: Column) -> Column:
+        done = F.transform(parts, lambda s: (s == "") | s.rlike("[.!?”\"]\\z"))
+        at = F.array_position(F.reverse(done) if last else done, F.lit(True)).cast("int")
+        pieces = F.transform(parts, lambda s, i: F.concat(F.coalesce(F.get(gaps, i - 1), F.lit("")), s) if last else F.concat(s, F.coalesce(F.get(gaps, i), F.lit(""))))
+        kept = F.slice(pieces, F.lit(1), F.size(parts) - at + 1) if last else F.slice(pieces, at, F.size(parts))
+        return F.when(at == 0, "").otherwise(F.array_join(kept, ""))
+
+    return _bound(F.split(p, SENTENCE_GAP), lambda parts: _bound(F.regexp_extract_all(p, F.lit(SENTENCE_GAP), 0), lambda gaps: trim(parts, gaps)))
+
+
+def trim_paragraphs(paras: Column) -> Column:
+    """Trim from the front until a paragraph has something complete, then from the back; what has nothing gets empty."""
+
+    def walk(ps: Column, last: bool) -> Column:
+        def keep(cut: Column) -> Column:
+            full = F.transform(cut, lambda t: t != "")
+            at = F.array_position(F.reverse(full) if last else full, F.lit(True)).cast("int")
+            place = F.when(at == 0, -1 if last else F.size(cut)).otherwise(F.size(cut) - at if last else at - 1)
+            beyond = lambda i, n: i > n if last else i < n
+            return _bound(place, lambda n: F.transform(ps, lambda p, i: F.when(beyond(i, n), "").when(i == n, F.get(cut, i)).otherwise(p)))
+
+        return _bound(F.transform(ps, lambda p: trim_incomplete(p, last)), keep)
+
+    return _bound(walk(paras, False), lambda ps: walk(ps, True))
 
 
 # Document gates: conditions under which a document stays. Words are runs of visible characters.

@@ -128,7 +128,7 @@ def queries() -> dict:
         "g6_para_lengths": _gate(lambda: P.gate_paragraph_lengths(F.split("text", "\n"))),
         "cascade_keep_by_lang": cascade_keep_by_lang,
         "cascade_audit": drop_audit,
-        "f04_trim_incomplete": lambda s, d: _docs(s, d).select("doc_id", F.length(P.trim_incomplete(F.split("text", "\n")[0])).cast("long").alias("n_chars")),
+        "f04_trim_incomplete": lambda s, d: _docs(s, d).select("doc_id", F.length(F.array_join(P.trim_paragraphs(F.split("text", "\n")), "\n")).cast("long").alias("n_chars")),
         "f01_join_lines": lambda s, d: _docs(s, d).select("doc_id", F.length(P.join_lines(F.col("text"))).cast("long").alias("n_chars")),
     }
     return found

@@ -63,6 +63,32 @@ def test_shards_hold_every_document(spark, tmp_path):
     assert got == {s: (n, sum(d % 37 for d in range(25, 1500, 3) if d // 37 == s)) for s, n in want.items()}
 
 
+def test_trim_over_all_paragraphs(spark, tmp_path):
+    gap = r"""((?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)(?:"|')?\s)"""
+
+    def trim(t: str, last: bool) -> str:
+        parts = re.split(gap, t)
+        done = [i for i, s in enumerate(parts) if s == "" or s[-1] in ".!?”\""]
+        return "" if not done else "".join(parts[: done[-1] + 1] if last else parts[done[0] :])
+
+    def brute(ps: list[str]) -> list[str]:
+        ps = list(ps)
+        for last in (False, True):
+            for i in reversed(range(len(ps))) if last else range(len(ps)):
+                ps[i] = trim(ps[i], last)
+                if ps[i]:
+                    break
+        return ps
+
+    texts = ["no end\nnor here\nIt ends. And\tgoes! on", "One.\nTwo and\nthree", "nothing\nat all", "", "\n\nA. b\n\n", 'He said "x." Next one. cut', "Mr. X came.\n\nlast e.g. this one", "a\nAll. Of it.  \nb"]
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ps = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", paragraphs.trim_paragraphs(F.split("text", "\n")).alias("ps"))
+    want = {i: brute(t.split("\n")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ps for r in ps.collect()} == want
+    got = {r.doc_id: r.n_chars for r in plans.queries()["f04_trim_incomplete"](spark, str(tmp_path)).collect()}
+    assert got == {i: len("\n".join(x)) for i, x in want.items()}
+
+
 def test_bleu_of_equal_texts(spark):
     rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat")], "p string, r string")
     assert metrics.bleu(rows, "p", "r").first().bleu == 1.0
