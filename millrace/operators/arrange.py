@@ -35,14 +35,23 @@ def caption_text(caption: Column) -> Column:
 
 def mask_labels(ids: Column, image: int, end: int, pad: int) -> Column:
     """Labels of interleaved ids: only what stands between an image and the next end of chunk counts, the end included."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(False).alias("on"))
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    ignored = F.lit(IGNORED).cast("bigint")
 
-    def step(state: Column, x: Column) -> Column:
-        label = F.when((x == pad) | (x == image) | ~state["on"], F.lit(IGNORED).cast("bigint")).otherwise(x)
-        on = F.when(x == image, True).when(x == end, False).otherwise(state["on"])
-        return F.struct(F.concat(state["out"], F.array(label)).alias("out"), on.alias("on"))
+    def masked(v: Column) -> Column:
+        # Stretches up to the next image or end, so that no growing array is copied.
+        marks = F.filter(F.transform(v, lambda x, i: F.when(x.isin(image, end), F.struct(i.alias("i"), (x == image).alias("on")))), lambda m: m.isNotNull())
 
-    return F.aggregate(ids, start, step)["out"]
+        def stretches(ms: Column) -> Column:
+            label = lambda on: lambda x: F.when((x == pad) | (x == image) | ~on, ignored).otherwise(x)
+            upto = lambda j: F.coalesce(F.get(ms, j)["i"], F.size(v) - 1)
+            head = F.transform(F.slice(v, F.lit(1), upto(F.lit(0)) + 1), label(F.lit(False)))
+            rest = F.transform(ms, lambda m, j: F.transform(F.slice(v, m["i"] + 2, upto(j + 1) - m["i"]), label(m["on"])))
+            return F.flatten(F.concat(F.array(head), rest))
+
+        return bound(marks, stretches)
+
+    return bound(ids, masked)
 
 
 def chat_prompt(turns: Column, style: str, system: str = "") -> Column:

@@ -45,14 +45,14 @@ def generated(spark, sf_dir: str) -> DataFrame:
 
 
 def label_mask(spark, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.sequence(F.lit(0), F.least(F.col("n_chars"), F.lit(60))), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
+    ids = F.transform(F.sequence(F.lit(0), F.col("n_chars")), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
     masked = _table(spark, sf_dir, "documents").select("doc_id", A.mask_labels(ids, 3, 5, 0).alias("m"))
     return masked.select("doc_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("labels"))
 
 
 def _mask_brute(spark, sf_dir: str) -> DataFrame:
     """The mask of single rows, exploded, as a window finds it: the last event before each place decides."""
-    ids = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.col("n_chars"), F.lit(60))), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))).alias("i", "x"))
+    ids = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_chars")), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))).alias("i", "x"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("x").isin(3, 5), F.col("x")), ignorenulls=True).over(before)
     return ids.select("doc_id", F.col("i").cast("long").alias("i"), F.when((last == 3) & ~F.col("x").isin(0, 3), F.col("x")).otherwise(-100).alias("label"))

@@ -89,6 +89,21 @@ def test_trim_over_all_paragraphs(spark, tmp_path):
     assert got == {i: len("\n".join(x)) for i, x in want.items()}
 
 
+def test_labels_over_the_whole_length(spark, tmp_path):
+    sizes = {0: 0, 3: 5, 7: 61, 8: 1000, 12: 20_000}
+    spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, n in sizes.items():
+        on, out = False, []
+        for x in ((i * 7 + d) % 11 for i in range(n + 1)):
+            out.append(x if on and x not in (0, 3) else -100)
+            on = x == 3 or (on and x != 5)
+        want[d] = out
+    assert {r.doc_id: [int(x) for x in r.labels.split(",")] for r in shaping.label_mask(spark, str(tmp_path)).collect()} == want
+    got = {(r.doc_id, r.i): r.label for r in shaping._mask_brute(spark, str(tmp_path)).collect()}
+    assert got == {(d, i): x for d, w in want.items() for i, x in enumerate(w)}
+
+
 def test_bleu_of_equal_texts(spark):
     rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat")], "p string, r string")
     assert metrics.bleu(rows, "p", "r").first().bleu == 1.0
