@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,14 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; sets one only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; sets one only where it is unset.
+
+    Without that setting only a local master gets a folder, since the executors of a cluster could not read it.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", f"file://{top}")
     return f"{top.rstrip('/')}/millrace-{uuid.uuid4().hex}" if "://" in top else f"file://{top.rstrip('/')}/millrace-{uuid.uuid4().hex}"
@@ -34,9 +40,47 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage and survives lost executors."""
     spark, path = session(df), shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a folder when the driver ends: a result that reads it may be used until then."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column of the table is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key() -> Column:
+    """128 bits that tell rows apart by their id and whole text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), "text", "doc_id").alias("y"))
+
+
+#: Rows of one key beyond which the key is joined by a broadcast of its own: at most rows / HOT_ROWS keys are.
+HOT_ROWS = 100_000
+
+
+def join_by_key(rows: DataFrame, side: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined to ``side``, which has one row a key and in ``count`` how many rows have it.
+
+    Keys of more than ``HOT_ROWS`` rows are few, so they are broadcast and their rows stay where they are; all other keys
+    are small enough for a task.
+    """
+    hot = side.where(F.col(count) > HOT_ROWS)
+    if not hot.limit(1).count():
+        return rows.join(side, key, "left")
+    names = hot.select(key)
+    rest = rows.join(F.broadcast(names), key, "left_anti").join(side.where(F.col(count) <= HOT_ROWS), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing reads any more."""
     spark = session(df)

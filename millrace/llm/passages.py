@@ -7,7 +7,8 @@ through these to locate every occurrence. A passage counts where its document is
 automaton found it in, so a hash alone never removes a word.
 
 Nulls and ties: a null or empty text has no words. Rows with equal ids never remove each other's words; a null id counts
-as the largest. An empty table gives no rows. Other columns are not read.
+as the largest. A text of any length is cut as a whole, in a slice of its own. An empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations

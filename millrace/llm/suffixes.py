@@ -8,7 +8,8 @@ array of the dictionary. Neighbours that agree in 50 bytes are one string, and i
 of 50 bytes holds its trigger, so no string is spread over owners.
 
 Nulls and ties: a null or empty text has no bytes. Rows with equal ids never remove each other's bytes; a null id counts as
-the largest. An empty table gives no rows. Other columns are not read.
+the largest. A text of any length is cut as a whole, in a slice of its own. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
