@@ -1,10 +1,12 @@
 """N-gram Jaccard join by signature trees, and the components of its links.
 
-A document's set holds the hashes of its distinct 5-word shingles. Two documents link at a Jaccard similarity of 0.75.
+A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two documents link at a Jaccard similarity of 0.75.
+Two shingles of one hash matter only where both stand in two documents compared, a chance of 1 in 10^13 for sets of 1,000.
 
 1. ``sketch``: each document is reduced to the digest and size of its set, a bitmap of it (a power of two
    of bits, above one and a half times the size) and its prefix: the smallest hashes, so many that two sets which link share one of them.
-2. Documents with one digest are a class; its smallest id stands for it. Classes are joined, copies never are.
+2. Documents with one digest (128 bits) are a class. Classes get numbers of their own, so rows that share an id, or have
+   none, stay apart. Classes are joined, copies never are.
 3. ``recurring``: owners of hashes find the prefix hashes that classes of fitting sizes share.
 4. ``meet``: classes that share such a hash meet in a signature tree. Its nodes hold OR-combined bitmaps and size ranges; the
    dual traversal drops node pairs and then pairs whose largest possible overlap is too small. What survives is joined to a
@@ -12,26 +14,28 @@ A document's set holds the hashes of its distinct 5-word shingles. Two documents
 5. The candidates' components are found by label steps, and the sets of each are read once. ``resolve`` runs the same dual
    traversal and compares the survivors exactly; documents already in one component aren't compared again.
 
-A component of more than ``BLOCK`` classes is dealt out in blocks: every block is resolved alone, then the blocks' own
-components are compared by pairs of blocks, leaving out pairs in which all are joined already. No task holds more than two
-blocks, and no pair is lost.
+A component of more than ``BLOCK`` classes is dealt out in blocks: every block is resolved alone, then with the first one,
+which joins most of what is alike; only pairs of blocks in which some are still apart are compared after that. No task holds
+more than two blocks, and no pair is lost.
 
 Nulls and ties: a document without words has size 0, links with nothing and is its own component. With fewer than five words
-the whole sequence is one shingle. Rows that repeat an id are one document of the smallest digest's component. A null id is
-larger than any other and is returned as null. An empty table gives no rows. Other columns are not read.
+the whole sequence is one shingle. Rows that repeat an id each have their own text's component, whose number is the smallest
+id in it. ``one_of_each`` keeps a single row of a component, also of rows that repeat an id and a text. A null id is larger
+than any other and is returned as null. Texts of any length are read whole, some at a time. An empty table gives no rows.
+Other columns are not read, and ``one_of_each`` hands them on whatever they are called.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles, session, text_slices, trim_worker
+from .common import discard, join_by_key, materialize, release_shuffles, row_key, session, text_slices, trim_worker, unused
 from .repeats import NULL_ID, Text, _batch, _by_bucket, _mix, _sums
 
 SHINGLE = 5
@@ -40,10 +44,12 @@ UP, DOWN = 75, 100
 #: Bits of a bitmap: a power of two, 1.5 to 3 times the size of the set, from BITS_LEAST to BITS_MOST. With fewer, sets that
 #: merely share a shingle pass often enough to join into one large component of candidates.
 BITS_LEAST, BITS_MOST = 128, 16384
-#: Documents in a leaf of a signature tree.
-LEAF = 64
+#: Documents in a leaf of a signature tree, and nodes below an inner node.
+LEAF, FANOUT = 64, 8
 #: Classes in a block, and the most that a task of ``resolve`` holds is two blocks.
-BLOCK = 4096
+BLOCK = 1024
+#: Classes of a hash that meet in one tree.
+MEET_BLOCK = 4096
 #: Groups of at most so many classes are compared pair by pair; larger ones get a tree.
 FEW = 12
 #: Prefix hashes an owner sorts at once, about.
@@ -101,49 +107,91 @@ def fold(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
+class Node:
+    """Sets ``lo`` to ``hi`` in order of size: OR of their bitmaps, range of sizes, and most elements of one set beyond its bits."""
+
+    def __init__(self, lo: int, hi: int, any_of: np.ndarray, least: int, most: int, extra: int, below: list[Node], table: np.ndarray | None) -> None:
+        self.lo, self.hi, self.any_of, self.least, self.most, self.extra, self.below, self.table = lo, hi, any_of, least, most, extra, below, table
+
+    def may_link(self, other: Node) -> bool:
+        """Whether any set here could link to any of ``other``: their sizes fit and their common bits leave enough overlap.
+
+        Shared elements stand on common bits. A set has at most ``extra`` elements more than bits.
+        """
+        if min(self.most, other.most) * DOWN < max(self.least, other.least) * UP:
+            return False
+        narrow = min(len(self.any_of), len(other.any_of))
+        common = int(np.bitwise_count(fold(self.any_of, narrow) & fold(other.any_of, narrow)).sum())
+        extra = min(x.extra for x in (self, other) if len(x.any_of) == narrow)
+        low, high = sorted((self.least, other.least))
+        return common + extra >= -(-UP * (low + high) // (UP + DOWN))
+
+
 class Tree:
-    """A signature tree over sets in order of size: leaves of ``LEAF`` sets under nodes with an OR bitmap and a size range."""
+    """A signature tree over sets in order of size: leaves of ``LEAF`` sets, under inner nodes of ``FANOUT`` nodes each."""
 
     def __init__(self, sizes: np.ndarray, maps: list[np.ndarray]) -> None:
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order]
         widths = np.array([len(maps[i]) for i in self.order])
-        # A leaf ends where bitmaps get wider: folded to the narrowest of all sizes, those of large sets would be full.
+        # A root for each width of bitmap: folded to the narrowest of all sizes, those of large sets would be full.
         cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(sizes)]
-        self.leaves = []
+        self.roots = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            for a in range(lo, hi, LEAF):
-                z = min(a + LEAF, hi)
-                table = np.array([maps[i] for i in self.order[a:z]])
-                self.leaves.append((a, table, np.bitwise_or.reduce(table, axis=0), self.sizes[a], self.sizes[z - 1]))
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            level = [self._leaf(a, min(a + LEAF, hi), maps) for a in range(lo, hi, LEAF)]
+            while len(level) > 1:
+                level = [self._inner(level[k : k + FANOUT]) for k in range(0, len(level), FANOUT)]
+            self.roots += level
+
+    def _leaf(self, a: int, z: int, maps: list[np.ndarray]) -> Node:
+        table = np.array([maps[i] for i in self.order[a:z]])
+        extra = int((self.sizes[a:z] - np.bitwise_count(table).sum(axis=1, dtype=np.int64)).max())
+        return Node(a, z, np.bitwise_or.reduce(table, axis=0), int(self.sizes[a]), int(self.sizes[z - 1]), extra, [], table)
+
+    @staticmethod
+    def _inner(below: list[Node]) -> Node:
+        any_of = np.bitwise_or.reduce([x.any_of for x in below])
+        return Node(below[0].lo, below[-1].hi, any_of, below[0].least, below[-1].most, max(x.extra for x in below), below, None)
+
+    def pairs(self, label: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Dual traversal: batches of pairs (as places in the input) whose largest possible overlap is enough.
 
-        A bit that one set has and another (or all of a node's sets) has not stands for an element they don't share.
+        ``label`` tells which places are joined already; what is wholly joined is passed over, as are such pairs.
         """
-        for x, (a, own, _, low, high) in enumerate(self.leaves):
-            for b, other, any_of, least, _ in self.leaves[x:]:
-                if least * UP > high * DOWN:
-                    break  # nodes come in order of size: all further ones are too large for this one
-                narrow = min(own.shape[1], other.shape[1])
-                mine = own if own.shape[1] == narrow else np.array([fold(m, narrow) for m in own])
-                size = self.sizes[a : a + len(own)]
-                lost = np.bitwise_count(mine & ~fold(any_of, narrow)[None, :]).sum(axis=1, dtype=np.int64)
-                some = np.flatnonzero(size - lost >= need(size, np.maximum(np.full_like(size, least), size)))
-                if not len(some):
-                    continue
-                theirs = other if other.shape[1] == narrow else np.array([fold(m, narrow) for m in other])
-                sizes = self.sizes[b : b + len(other)]
-                shared = np.bitwise_count(mine[some][:, None, :] & theirs[None, :, :]).sum(axis=2, dtype=np.int64)
-                mine_n, theirs_n = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine[some], theirs))
-                most_shared = np.minimum(size[some][:, None] - (mine_n[:, None] - shared), sizes[None, :] - (theirs_n[None, :] - shared))
-                i, j = np.nonzero(most_shared >= need(size[some][:, None], sizes[None, :]))
-                i = some[i] + a
-                j = j + b
-                once = i < j
-                if once.any():
-                    yield self.order[i[once]], self.order[j[once]]
+        todo = [(x, y) for k, x in enumerate(self.roots) for y in self.roots[k:]][::-1]
+        while todo:
+            x, y = todo.pop()
+            if x is not y and not x.may_link(y):
+                continue
+            if x.below and x is y:
+                todo += [(p, q) for k, p in enumerate(x.below) for q in x.below[k:]][::-1]
+            elif x.below and (not y.below or x.hi - x.lo >= y.hi - y.lo):
+                todo += [(p, y) for p in x.below][::-1]
+            elif y.below:
+                todo += [(x, q) for q in y.below][::-1]
+            else:
+                yield from self._leaves(x, y, label)
+
+    def _leaves(self, x: Node, y: Node, label: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A bit that one set has and another (or all of a node's sets) has not stands for an element they don't share."""
+        of_x, of_y = label(self.order[x.lo : x.hi]), label(self.order[y.lo : y.hi])
+        if (of_x == of_x[0]).all() and (of_y == of_x[0]).all():
+            return
+        narrow = min(x.table.shape[1], y.table.shape[1])
+        narrowed = lambda t: t if t.shape[1] == narrow else np.array([fold(m, narrow) for m in t])
+        mine, theirs, size, sizes = narrowed(x.table), narrowed(y.table), self.sizes[x.lo : x.hi], self.sizes[y.lo : y.hi]
+        lost = np.bitwise_count(mine & ~fold(y.any_of, narrow)[None, :]).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(size - lost >= need(size, np.maximum(np.full_like(size, y.least), size)))
+        if not len(some):
+            return
+        shared = np.bitwise_count(mine[some][:, None, :] & theirs[None, :, :]).sum(axis=2, dtype=np.int64)
+        mine_n, theirs_n = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine[some], theirs))
+        most = np.minimum(size[some][:, None] - (mine_n[:, None] - shared), sizes[None, :] - (theirs_n[None, :] - shared))
+        i, j = np.nonzero((most >= need(size[some][:, None], sizes[None, :])) & (of_x[some][:, None] != of_y[None, :]))
+        i, j = some[i] + x.lo, j + y.lo
+        once = i < j
+        if once.any():
+            yield self.order[i[once]], self.order[j[once]]
 
 
 class Union:
@@ -166,27 +214,29 @@ class Union:
         self.up[max(x, y)] = min(x, y)
         return True
 
-
-_SKETCH = pa.schema([("rk", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("prefix", pa.binary())])
+    def labels(self, some: np.ndarray) -> np.ndarray:
+        return np.array([self.find(x) for x in some.tolist()], np.int64)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Step 1: rk (digest of id and text), doc, n, digest, bitmap and prefix of each row."""
-    work = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    """Step 1: rk (128-bit digest of id and text), doc, n, digest, bitmap and prefix of each row."""
+    work = docs.select(row_key().alias("rk"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    names = ["rk", "doc", "n", "digest", "bitmap", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             for rows in text_slices(batch):
-                out = []
-                for rk, doc, s in zip(rows.column("rk").to_pylist(), rows.column("doc").to_pylist(), shingle_sets(rows.column("text").to_pylist()), strict=True):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
-                    out.append((rk, doc, len(s), digest, bitmap(s, bits_for(len(s))).tobytes(), s[: prefix_length(len(s))].tobytes()))
-                yield _batch(out, _SKETCH)
+                sets = shingle_sets(rows.column("text").to_pylist())
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
+                maps = [bitmap(s, bits_for(len(s))).tobytes() for s in sets]
+                prefixes = [s[: prefix_length(len(s))].tobytes() for s in sets]
+                found = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, maps, prefixes))]
+                yield pa.RecordBatch.from_arrays([rows.column("rk"), rows.column("doc"), *found], names)
         trim_worker()
 
-    return work.mapInArrow(run, "rk long, doc long, n long, digest binary, bitmap binary, prefix binary")
+    return work.mapInArrow(run, "rk struct<x: long, y: long>, doc long, n long, digest binary, bitmap binary, prefix binary")
 
 
 _SENT = pa.schema([("owner", pa.int32()), ("payload", pa.binary())])
@@ -225,7 +275,7 @@ def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
         h, doc = h[some], doc[some]
         first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
         counts = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
-        out = [(b, pickle.dumps(tuple(x), 5)) for b, x in _by_bucket(doc % buckets, doc, h, -(-counts // BLOCK))]
+        out = [(b, pickle.dumps(tuple(x), 5)) for b, x in _by_bucket(doc % buckets, doc, h, -(-counts // MEET_BLOCK))]
         trim_worker()
         return pa.Table.from_batches([_batch(out, _SENT)])
 
@@ -235,7 +285,7 @@ def recurring(classes: DataFrame, owners: int, buckets: int) -> DataFrame:
 def place(classes: DataFrame, answers: DataFrame, owners: int, buckets: int) -> DataFrame:
     """(owner, payload): recurring hashes with their classes; a class's bitmap goes once to each owner that needs it.
 
-    A hash of more than ``BLOCK`` classes is dealt out by pairs of blocks, each class to all pairs of its block, so that no
+    A hash of more than ``MEET_BLOCK`` classes is dealt out by pairs of blocks, each class to all pairs of its block, so that no
     hash is too large for a task.
     """
 
@@ -297,7 +347,7 @@ def meet(placed: DataFrame) -> DataFrame:
             part = np.unique(number[a : a + k])
             if len({joined.find(x) for x in part.tolist()}) < 2:
                 continue
-            for i, j in Tree(sizes[part], [own[x] for x in part]).pairs():
+            for i, j in Tree(sizes[part], [own[x] for x in part]).pairs(lambda some, part=part: joined.labels(part[some])):
                 for x, y in zip(part[i].tolist(), part[j].tolist(), strict=True):
                     if joined.join(x, y):
                         out.append((names[x], names[y]))
@@ -376,7 +426,7 @@ def resolve(sets: DataFrame, keys: list[str], owners: int) -> DataFrame:
         left = len(first)
         if left < 2:
             return
-        for i, j in Tree(np.array([len(x) for x in own]), [bitmap(x, bits_for(len(x))) for x in own]).pairs():
+        for i, j in Tree(np.array([len(x) for x in own]), [bitmap(x, bits_for(len(x))) for x in own]).pairs(joined.labels):
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if joined.find(x) != joined.find(y) and _exact(own, x, y):
                     joined.join(x, y)
@@ -401,9 +451,9 @@ def resolve(sets: DataFrame, keys: list[str], owners: int) -> DataFrame:
 def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members (rk, doc, group, label) with the set of each, read from its text."""
     few = members.count() <= BROADCAST_CANDIDATES
-    work = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
+    work = docs.select(row_key().alias("rk"), "text")
     side = members.select("rk", "doc", "group", "label")
-    work = work.join(F.broadcast(side) if few else side, "rk")
+    work = work.join(F.broadcast(side) if few else side, "rk").dropDuplicates(["doc"])
     schema = pa.schema([("doc", pa.int64()), ("group", pa.int64()), ("label", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,12 +473,27 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", "doc"))
 
 
+def _blocked(table: DataFrame) -> DataFrame:
+    return table.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+
+
+def _across(sets: DataFrame, named: DataFrame, links: DataFrame, chosen: str, owners: int) -> DataFrame:
+    """Links and those found between the pairs (p, q) of blocks that ``chosen`` names and in which some are still apart."""
+    held = materialize(named.groupBy("group", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    x, y = held.alias("x"), held.alias("y")
+    pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.block") < F.col("y.block"))).where(chosen)
+    pairs = pairs.where("least(x.lo, y.lo) < greatest(x.hi, y.hi)").select(F.col("x.group").alias("group"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    dealt = named.join(pairs.withColumn("block", F.explode(F.array("p", "q"))), ["group", "block"]).join(sets.select("doc", "set"), "doc")
+    return materialize(links.union(resolve(dealt.select("doc", "label", "set", "group", "p", "q"), ["group", "p", "q"], 4 * owners)))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """rk, doc, n (size of the set) and component (smallest id reachable by links) of every row."""
+    """rk, doc, n (size of the set), label (one for each component; null without words) and component (its smallest id)."""
     spark = session(docs)
     rows = materialize(sketch(docs))
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "rk", "n", "bitmap", "prefix")).alias("c"))
-    classes = materialize(classes.select("digest", "c.*"))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "rk", "n", "bitmap", "prefix")).alias("c"), F.count(F.lit(1)).alias("copies"))
+    # The numbers are written, so they stay what they are; ``doc`` is a class's number from here on, ``least`` its smallest id.
+    classes = materialize(classes.select("digest", "copies", F.col("c.doc").alias("least"), "c.rk", "c.n", "c.bitmap", "c.prefix", F.monotonically_increasing_id().alias("doc")))
     sketches, rows = rows, materialize(rows.select("rk", "doc", "n", "digest"))
     release_shuffles(spark)
     discard(sketches)
@@ -444,39 +509,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = classes.select("rk", "doc").join(candidates.select(F.col("node").alias("doc"), F.col("label").alias("group")), "doc").withColumn("label", F.col("doc"))
     members = materialize(members)
     large = materialize(members.groupBy("group").count().where(F.col("count") > BLOCK).select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    few = F.broadcast(large) if large.count() <= 100_000 else large
+    some_large = large.count()
+    few = F.broadcast(large) if some_large <= 100_000 else large
     sets = materialize(with_sets(docs, members))
     release_shuffles(spark)
     block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    first = resolve(sets.join(few, "group", "left").withColumn("block", block), ["group", "block"], 2 * owners)
-    links = materialize(first)
-    if large.count():
-        inside = sets.join(few, "group")
-        named = materialize(_relabelled(inside.select("doc", "group", "label", "blocks").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), links))
-        # Whether a pair of blocks still has something to join: it has unless all its documents have one label.
-        held = materialize(named.groupBy("group", "blocks", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-        x, y = held.alias("x"), held.alias("y")
-        pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.block") < F.col("y.block")))
-        pairs = pairs.where("least(x.lo, y.lo) < greatest(x.hi, y.hi)").select(F.col("x.group").alias("group"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
-        pairs = pairs.withColumn("block", F.explode(F.array("p", "q")))
-        dealt = named.join(pairs, ["group", "block"]).join(sets.select("doc", "set"), "doc")
-        links = materialize(links.union(resolve(dealt.select("doc", "label", "set", "group", "p", "q"), ["group", "p", "q"], 4 * owners)))
+    links = materialize(resolve(sets.join(few, "group", "left").withColumn("block", block), ["group", "block"], 2 * owners))
+    if some_large:
+        inside = _blocked(sets.join(few, "group").select("doc", "group", "label", "blocks"))
+        for chosen in ("x.block = 0", "true"):
+            links = _across(sets, materialize(_relabelled(inside, links)), links, chosen, owners)
     release_shuffles(spark)
-    named = materialize(components(links)).select(F.col("node").alias("head"), "label")
-    heads = classes.select("digest", F.col("doc").alias("head")).join(named, "head", "left").select("digest", F.coalesce("label", "head").alias("component"))
-    found = rows.select("rk", "doc", "n", "digest").join(heads, "digest", "left")
-    return found.select("rk", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    named = materialize(components(links)).select(F.col("node").alias("doc"), "label")
+    known = materialize(classes.select("digest", "copies", "doc", "least").join(named, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+    smallest = known.groupBy("label").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("classes"))
+    heads = join_by_key(known.select("digest", "copies", "label"), smallest, "label", "classes").select("digest", "copies", "label", "component")
+    found = join_by_key(rows.where("n > 0"), heads, "digest", "copies").select("rk", "doc", "n", "label", "component")
+    return found.unionByName(rows.where("n = 0").select("rk", "doc", "n", F.lit(None).cast("long").alias("label"), F.col("doc").alias("component")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for, with their own columns.
+    """One row of each component, that of its smallest id, with its own columns.
 
-    Documents without words are no copies of each other and stay. The ids that go are broadcast if they are few.
+    Documents without words are no copies of each other and stay. The rows that go are broadcast if they are few.
     """
-    found = near_duplicates(docs)
-    gone = materialize(found.where("doc <> component").select(F.col("rk").alias("_gone")).distinct())
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_CANDIDATES else gone
-    return docs.join(side, F.xxhash64(docs["doc_id"], docs["text"]) == side["_gone"], "left_anti")
+    found = materialize(near_duplicates(docs).where("n > 0").groupBy("label", "doc", "rk").agg(F.count(F.lit(1)).alias("times")))
+    kept = found.groupBy("label").agg(F.min(F.struct("doc", "rk", "times")).alias("k"), F.count(F.lit(1)).alias("texts"))
+    gone = materialize(join_by_key(found.select("label", "rk"), kept.select("label", "texts", F.col("k.rk").alias("keeper")), "label", "texts").where("rk <> keeper").select("rk"))
+    again = materialize(kept.where("k.times > 1").select("k.rk"))
+    key = unused(docs.columns, "_row")
+    left = docs.withColumn(key, row_key())
+    side = lambda t: (F.broadcast(t) if t.count() <= BROADCAST_CANDIDATES else t).withColumnRenamed("rk", key)
+    left = left.join(side(gone), key, "left_anti")
+    if again.limit(1).count():
+        left = left.join(side(again), key, "left_anti").unionByName(left.join(side(again), key, "left_semi").dropDuplicates([key]))
+    return left.drop(key)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
