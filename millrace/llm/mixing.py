@@ -2,10 +2,11 @@
 
 Words are counted per source, a target is set for each source, and a document is taken ``floor(rate)`` times plus once
 more with a probability equal to the fraction, where ``rate`` is target by size of its source. The draw is a hash of the
-document's id and a seed, so runs agree on any cluster.
+document's id, its text and a seed, so runs agree on any cluster. Rows that repeat both are numbered, and draw apart.
 
-Nulls and ties: a null text has no words, a null source is a source of its own (sorted last), null ids share one draw.
-Rows that repeat an id share its draw. An empty table gives no rows. Other columns pass through ``emit``.
+Nulls and ties: a null text has no words, a null source is a source of its own (sorted last). Null ids draw by their texts,
+and so do rows that share an id. A text of any length is one draw. An empty table gives no rows. Other columns pass through
+``emit`` whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MAX_REPEATS = 3
 #: Largest table of sources that is broadcast; beyond it the join is by source, salted.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
+#: Pairs of id and text that repeat, and are broadcast to number their rows; beyond that many the join is shuffled.
+BROADCAST_REPEATS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,15 +51,44 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return named.select("source", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from 52 bits of a digest of the id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def text_digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_nth``: how many rows with the same doc_id and digest come before it; the order among them is free.
+
+    Only rows that repeat both are counted: within each partition first, then over partitions, of which a window sees one
+    row each. So no group of repeated rows comes together in one task.
+    """
+    key = ["doc_id", "digest"]
+    again = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
+    many = again.count()
+    if not many:
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    side = F.broadcast(again) if many <= BROADCAST_REPEATS else again
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    placed = rows.withColumn("_part", F.spark_partition_id())
+    own = placed.join(side, same, "left_semi")
+    counts = materialize(own.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n")))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("_part").alias("_of"), ahead.alias("_ahead"))
+    within = own.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.lit(0))) - 1)
+    every = within.join(counts, same & (F.col("_part") == F.col("_of"))).withColumn("_nth", (F.col("_nth") + F.col("_ahead")).cast("long"))
+    single = placed.join(side, same, "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    return single.unionByName(every.select(*single.columns)).drop("_part")
+
+
+def draw(doc_id: Column, digest: Column, nth: Column, seed: int) -> Column:
+    """A number in [0, 1) from 52 bits of a digest of the id, the text's digest and the row's number among such rows."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), digest, nth.cast("string"))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mixing_plan(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Rows with doc_id, source and size, and what else they hold, gain source_size, target and copies."""
+    """Rows with doc_id, source, size and digest, and what else they hold, gain source_size, target and copies."""
     targets = materialize(source_targets(sized, weights, max_repeats).withColumnRenamed("source", "_source"))
+    sized = numbered(sized)
     if targets.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source")), "left")
     else:
@@ -65,21 +97,21 @@ def mixing_plan(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIG
         joined = salted.join(every, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return joined.drop("_source").withColumn("copies", copies)
+    copies = whole + (draw(F.col("doc_id"), F.col("digest"), F.col("_nth"), seed) < rate - whole).cast("long")
+    return joined.withColumn("copies", copies).drop("_source", "_nth")
 
 
 def emit(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mixed corpus: each document as often as the plan takes it, with its own columns."""
-    work = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    work = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), text_digest().alias("digest"))
     taken = mixing_plan(work, seed, weights, max_repeats).where("copies > 0")
     taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, written once: counting words is the costly part."""
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    """doc_id, source, size and digest, written once: counting words is the costly part."""
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_digest().alias("digest")))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -89,7 +121,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, text) - 1 AS nth, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), every_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), named AS (
@@ -105,7 +137,7 @@ WITH sized AS (
   FROM levels
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+         CAST(CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || ':' || nth), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 ), taken AS (
   SELECT *, CAST(floor(rate) AS BIGINT) + CAST(draw < rate - floor(rate) AS BIGINT) AS copies FROM rated
