@@ -2,12 +2,14 @@
 
 A bounded sample of labelled texts is reduced to latent vectors (frequent tokens and token shapes, log counts by inverse
 document frequency, truncated SVD). The vectors and their labels, a fixed number, are broadcast. Every document is
-projected, its cosines with all labelled vectors are computed in blocks, and its nearest neighbours vote with their
-similarity as weight. Votes are smoothed by the sample's share of good texts, which is also the score of a text without
+projected, its cosines with all labelled vectors are computed in blocks, and its nearest neighbours vote with the
+``SHARPNESS``-th power of their similarity as weight. Votes are smoothed by the sample's share of good texts, which is also the score of a text without
 any known feature.
 
-Nulls and ties: a null text is empty; an empty text scores the sample's share. Labels or ids that are null teach nothing.
-Without any labels every score is 0.5. An empty table gives no rows. Other columns are not read.
+Nulls and ties: a null text is empty; an empty text scores the sample's share. Labels or ids that are null teach nothing;
+of a repeated id one text and the larger label teach. Without any labels every score is 0.5. Equally near neighbours beyond
+the last place are dropped in no stated order. Repeated rows score alike; long texts are read whole, in training too. An
+empty table gives no rows. Other columns are not read, and ``keep_good`` hands them on whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,26 +23,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, text_slices, trim_worker
-from .features import SAMPLE_ROWS, held_out, repetition, sample, shape, tokens, vocabulary
+from .common import session, text_slices, trim_worker, unused
+from .features import SAMPLE_ROWS, Rows, held_out, repetition, sample, shape, tokens, vocabulary
 
 DIMENSIONS = 48
 NEIGHBOURS = 25
+#: Cosines of texts in one language differ little; this power tells near neighbours from those that are only related.
+SHARPNESS = 4
 VOCABULARY = 6_000
 #: Rows whose cosines are held at once: BLOCK x SAMPLE_ROWS floats.
 BLOCK = 256
 
 
+#: Stands for the number of tokens among a text's features.
+_SIZE = "<size>"
+
+
+def _features(text: str) -> dict[str, int]:
+    """Counts of tokens, of their shapes and of how the text repeats itself."""
+    own = tokens(text)
+    found = Counter(own)
+    for x, n in list(found.items()):
+        found[shape(x)] += n
+    found.update(repetition(own))
+    found[_SIZE] = len(own)
+    return found
+
+
+def _damped(counts: np.ndarray, size: int) -> np.ndarray:
+    return np.log1p(counts.astype(np.float32) * np.float32(1000 / max(size, 1)))
+
+
 class Model:
     """The projection, the labelled vectors and the vote."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 1) -> None:
+    def __init__(self, sampled: DataFrame, dimensions: int = DIMENSIONS, seed: int = 1) -> None:
         self.known: dict[str, int] = {}
+        size = sampled.count()
+        self.where = vocabulary(sampled, _features, max(2, size // 400), VOCABULARY)
+        size_at = self.where.setdefault(_SIZE, len(self.where))
+        found = Rows(sampled, _features, self.where)
+        labels = found.labels
         self.share = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
-        self.where = vocabulary(texts, self._expand, max(2, len(texts) // 400), VOCABULARY)
-        rows = [self._counts(x) for x in texts]
-        n, v = len(texts), len(self.where)
+        rows = []
+        for ids, counts in zip(found.ids, found.counts, strict=True):
+            own = ids != size_at
+            rows.append((ids[own], _damped(counts[own], int(counts[~own].sum()))))
+        n, v = len(rows), len(self.where)
         seen = np.zeros(v)
         for ids, _ in rows:
             seen[ids] += 1
@@ -58,11 +88,6 @@ class Model:
             self.basis = np.ascontiguousarray((wide @ turn.T)[:, :dimensions], dtype=np.float32)
         self.vectors = self._unit(np.array([self._project(x) for x in rows], np.float32).reshape(n, self.basis.shape[1]))
 
-    @staticmethod
-    def _expand(text: str) -> list[str]:
-        found = tokens(text)
-        return [*found, *map(shape, found), *repetition(found)]
-
     def _counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Known features and their log counts; a token is looked up once and remembered as its features."""
         own = tokens(text)
@@ -72,7 +97,7 @@ class Model:
                 found[f] = found.get(f, 0) + c
         n = len(own)
         ids = np.fromiter(found, np.int64, len(found))
-        return ids, np.log1p(np.fromiter(found.values(), np.float32, len(found)) * (1000 / max(n, 1)))
+        return ids, _damped(np.fromiter(found.values(), np.float32, len(found)), n)
 
     def _of(self, token: str) -> tuple[int, ...]:
         if (hit := self.known.get(token)) is None:
@@ -114,16 +139,14 @@ class Model:
             vectors = self._unit(np.array([self._project(r) for r, s in zip(rows, some, strict=True) if s], np.float32))
             cosine = vectors @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 4
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** SHARPNESS
             votes = (weight * self.labels[near]).sum(axis=1) + self.share
             out[start : start + BLOCK][some] = votes / (weight.sum(axis=1) + 1)
         return np.clip(out, 0.0, 1.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    model = Model(*sample(docs, labels, "quality", rows))
-    model.known.clear()
-    return model
+    return Model(sample(docs, labels, "quality", rows))
 
 
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
@@ -145,7 +168,8 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least ``least``, with their own columns."""
-    return score(docs, train(docs, labels), "_quality").where(F.col("_quality") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs.columns, "_quality")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= least).drop(name)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,12 @@ the vocabulary that sets them apart. One weight vector serves every threshold: P
 ordered thresholds t_j. Features are words and their first letters, as log counts over the whole text; the weights shrink
 towards zero and most are exactly zero. The score is the expected severity, the sum of P(grade > j).
 
-Nulls and ties: a null text is empty and has the sample's base rates. Ids or labels that are null teach nothing; without
-any toxic label the severity is 0. An empty table gives no rows. Other columns are not read.
+The grades above 0 are no labels: the labels only tell toxic from clean, so the grades rank texts by how much of that
+vocabulary they hold.
+
+Nulls and ties: a null text is empty and has the sample's base rates. Ids or labels that are null teach nothing; of a
+repeated id one text and the larger label teach; without any toxic label the severity is 0. Repeated rows score alike; long
+texts are read whole, in training too. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, text_slices
-from .features import SAMPLE_ROWS, held_out, sample, vocabulary
+from .features import SAMPLE_ROWS, Rows, held_out, sample, vocabulary
 
 #: Grades above 0.
 GRADES = 3
@@ -37,8 +41,12 @@ def _expand(word: str) -> list[str]:
     return [word, *[f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k]]
 
 
-def _features(text: str) -> list[str]:
-    return [f for x in _WORD.findall(text.lower()) for f in _expand(x)]
+def _features(text: str) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for f in _expand(word):
+            found[f] = found.get(f, 0) + n
+    return found
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -48,17 +56,18 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 class Model:
     """Shared weights and ordered thresholds."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray, grades: int = GRADES) -> None:
+    def __init__(self, sampled: DataFrame, grades: int = GRADES) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.where: dict[str, int] = {}
         self.weights, self.thresholds = np.zeros(0), np.full(grades, 30.0)
-        if not toxic.any():
+        every = vocabulary(sampled, _features, 3, VOCABULARY)
+        found = Rows(sampled, _features, every)
+        toxic = found.labels
+        if not toxic.any() or not every:
             return
-        every = vocabulary(texts, _features, 3, VOCABULARY)
-        counts = [Counter(i for f in _features(x) if (i := every.get(f)) is not None) for x in texts]
         has = np.zeros((2, len(every)))
-        for c, y in zip(counts, toxic, strict=True):
-            has[int(y), list(c)] += 1
+        for ids, y in zip(found.ids, toxic, strict=True):
+            has[int(y), ids] += 1
         rate = (has + 0.5) / (np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]]) + 1)
         tells = (rate[1] - rate[0]) * np.log(rate[1] / rate[0])
         chosen = np.argsort(-tells, kind="stable")[:SELECTED]
@@ -66,16 +75,13 @@ class Model:
         self.where = {names[i]: k for k, i in enumerate(chosen)}
         place = np.full(len(every), -1)
         place[chosen] = np.arange(len(chosen))
-        lexicon = set(np.flatnonzero((np.log(rate[1] / rate[0]) > 2.5) & (has[1] >= 3)).tolist())
-        hits = np.array([sum(n for i, n in c.items() if i in lexicon) for c in counts], float)
+        lexicon = (np.log(rate[1] / rate[0]) > 2.5) & (has[1] >= 3)
+        hits = np.array([c[lexicon[i]].sum() for i, c in zip(found.ids, found.counts, strict=True)], float)
         cuts = np.quantile(hits[toxic == 1], np.arange(1, grades) / grades)
         grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0)
-        rows, ids, values = [], [], []
-        for r, c in enumerate(counts):
-            for i, n in c.items():
-                if place[i] >= 0:
-                    rows.append(r), ids.append(place[i]), values.append(np.log1p(n))
-        self._fit(np.array(rows, np.int64), np.array(ids, np.int64), np.array(values), grade, len(texts), grades)
+        rows, ids, n = np.repeat(np.arange(len(toxic)), [len(x) for x in found.ids]), np.concatenate(found.ids), np.concatenate(found.counts)
+        some = place[ids] >= 0
+        self._fit(rows[some], place[ids[some]], np.log1p(n[some]), grade, len(toxic), grades)
 
     def _fit(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, n: int, grades: int) -> None:
         """Accelerated proximal gradient steps on the cumulative logistic loss; thresholds are kept in order."""
@@ -111,15 +117,15 @@ class Model:
         eta = np.zeros(len(texts))
         for r, text in enumerate(texts):
             found: dict[int, int] = {}
-            for word in _WORD.findall(text.lower()):
+            for word, n in Counter(_WORD.findall(text.lower())).items():
                 for f in self._of(word):
-                    found[f] = found.get(f, 0) + 1
+                    found[f] = found.get(f, 0) + n
             eta[r] = sum(self.weights[f] * np.log1p(n) for f, n in found.items())
         return _logistic(eta[:, None] - self.thresholds[None, :])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    return Model(*sample(docs, labels, "toxic", rows))
+    return Model(sample(docs, labels, "toxic", rows))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
