@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_license_scan": licenses.op8_license_scan,
+        "license_variants": licenses.license_variants,
         "op9_passages": passages.op9_passages,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
@@ -26,4 +27,5 @@ def oracles() -> dict:
         "op6_exact_dedup": exact.SQL,
         "op7_decontaminate": decontaminate.SQL,
         "op8_license_scan": licenses.SQL,
+        "license_variants": licenses.VARIANTS_SQL,
     }
