@@ -12,7 +12,7 @@
 At 0.75 the shingles of window and item differ in 11 of 64 bits on average (cosine 0.86); 20 is three deviations more.
 
 Shingles are five words, lower-cased; an item of fewer words is one shingle. Nulls and ties: a null or empty text or item
-matches nothing. Rows that repeat a document count once; of equally similar windows the first is given at which a shared
+matches nothing. Rows that repeat a document count once, and ``clean`` drops them all; texts of any length are read whole; of equally similar windows the first is given at which a shared
 shingle has its place of the item, or else the first. Empty tables give no rows. Other columns are not read.
 """
 
@@ -158,13 +158,16 @@ item_shingles AS (SELECT item_id, n, k, q, array_to_string(ws[q + 1 : q + k], ch
 doc_shingles AS (SELECT doc_id, size, k, p, array_to_string(ws[p + 1 : p + k], chr(31)) AS shingle
   FROM (SELECT doc_id, ws, len(ws) AS size, k, unnest(range(0, len(ws) - k + 1)) AS p FROM doc_words, (SELECT DISTINCT k FROM item_sizes))),
 shared AS (SELECT doc_id, size, item_id, n, i.k, p, q, shingle FROM doc_shingles d JOIN item_shingles i USING (k, shingle)),
-windows AS (SELECT DISTINCT doc_id, size, item_id, n, k, p - q AS s FROM shared),
-in_window AS (SELECT w.doc_id, w.size, w.item_id, w.n, w.k, w.s, shingle, count(DISTINCT p) AS c
-  FROM windows w JOIN shared h ON w.doc_id = h.doc_id AND w.item_id = h.item_id AND h.p BETWEEN w.s AND w.s + w.n - w.k GROUP BY ALL),
+places AS (SELECT DISTINCT doc_id, size, item_id, n, k, p, shingle FROM shared),
+pairs AS (SELECT doc_id, size, item_id, n, k FROM places GROUP BY ALL HAVING count(*) >= 0.75 * (n - k + 1)),
+windows AS (SELECT *, unnest(range(k - n, size - k + 1)) AS s FROM pairs),
+in_window AS (SELECT w.doc_id, w.size, w.item_id, w.n, w.k, w.s, shingle, count(*) AS c
+  FROM windows w JOIN places h ON w.doc_id = h.doc_id AND w.item_id = h.item_id AND h.p BETWEEN w.s AND w.s + w.n - w.k GROUP BY ALL),
 in_item AS (SELECT item_id, shingle, count(*) AS c FROM item_shingles GROUP BY ALL),
 overlap AS (SELECT doc_id, size, item_id, n, k, s, sum(least(w.c, i.c)) AS both_have FROM in_window w JOIN in_item i USING (item_id, shingle) GROUP BY ALL),
-scored AS (SELECT doc_id, item_id, greatest(s, 0) AS start_word,
-  both_have / (least(s + n, size) - greatest(s, 0) - k + 1 + n - k + 1 - both_have) AS similarity FROM overlap)
-SELECT doc_id, item_id, CAST(arg_min(start_word, (-similarity, start_word)) AS INTEGER) AS start_word, round(max(similarity), 6) AS similarity
+in_place AS (SELECT DISTINCT doc_id, item_id, p - q AS s, false AS moved FROM shared),
+scored AS (SELECT doc_id, item_id, greatest(s, 0) AS start_word, coalesce(moved, true) AS moved,
+  both_have / (least(s + n, size) - greatest(s, 0) - k + 1 + n - k + 1 - both_have) AS similarity FROM overlap LEFT JOIN in_place USING (doc_id, item_id, s))
+SELECT doc_id, item_id, CAST(arg_min(start_word, (-similarity, moved, start_word)) AS INTEGER) AS start_word, round(max(similarity), 6) AS similarity
 FROM scored WHERE similarity >= 0.75 GROUP BY doc_id, item_id
 """
