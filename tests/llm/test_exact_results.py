@@ -76,6 +76,7 @@ def lower(text: str) -> str:
 @pytest.mark.parametrize("block", [4096, 4])
 def test_jaccard(edge_docs, edge_rows, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MEET_BLOCK", block)
     sets = {}
     for r in edge_rows:
         w = WORDS.findall(lower(r[1] or ""))
@@ -225,5 +226,67 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((r.doc_id or 99, r.n_removed) for r in passages.dedup(docs).collect())
     assert got == [(1, 0), (1, 0), (2, 80), (99, 0), (99, 80)]
     assert [r.keep_id for r in exact.dedup(docs).where("doc_id is null").orderBy("group_size").collect()] == [None, 1]
+    assert [r.kept for r in exact.dedup(docs).where("doc_id = 1").orderBy("kept").collect()] == [False, True]
+    assert jaccard.one_of_each(docs).count() == 2 and jaccard.one_of_each(docs).columns == docs.columns
     assert jaccard.near_duplicates(docs).where(F.col("doc") != repeats.NULL_ID).select("component").distinct().count() == 1
     assert tokens.write_and_read(docs).count() == 5
+
+
+def morse(n: int, swap: bool) -> str:
+    """A word on which sums modulo 2^64 of any odd base agree with those of its complement."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_are_told_apart_by_their_bytes(spark, n):
+    start = [f"w{i}" for i in range(49)]
+    docs = spark.createDataFrame([(1, " ".join([*start, morse(n, False)])), (2, " ".join([*start, morse(n, True)])), (3, " ".join(["x"] * 4 + [morse(n, False)])), (4, " ".join(["x"] * 4 + [morse(n, True)]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in passages.dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc: r.component for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("shared", [8, None])
+def test_rows_that_share_an_id_keep_their_links(spark, shared):
+    a, other = [f"a{i}" for i in range(60)], [f"z{i}" for i in range(60)]
+    docs = spark.createDataFrame([(7, " ".join(a)), (shared, " ".join([*a[:58], "q", "r"])), (shared, " ".join(other))], "doc_id long, text string")
+    assert {r.text[:2] for r in jaccard.one_of_each(docs).collect()} == {"a0", "z0"}
+    assert sorted(r.component for r in jaccard.near_duplicates(docs).collect()) == sorted([7, 7, 8 if shared else repeats.NULL_ID])
+
+
+def test_copies_in_one_group_keep_one_row(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "ab"), (2, "c"), (None, "c"), (None, None), (None, " ")], "doc_id long, text string")
+    got = exact.dedup(docs).groupBy("text_sha256").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert all(r.kept == 1 for r in got) and sorted(r.n for r in got) == [2, 2, 3]
+
+
+def test_signature_tree_loses_no_pair():
+    """Every pair that links survives the dual traversal of a tree with inner nodes; most others do not."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(120):
+        base = rng.integers(0, 1 << 63, int(rng.integers(3, 300)), dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 9))):
+            keep = base[rng.random(len(base)) > rng.random() * 0.2]
+            sets.append(np.unique(np.concatenate([keep if len(keep) else base[:1], rng.integers(0, 1 << 63, len(base) // 12, dtype=np.uint64)])))
+    sizes, maps = np.array([len(s) for s in sets]), [jaccard.bitmap(s, jaccard.bits_for(len(s))) for s in sets]
+    tree = jaccard.Tree(sizes, maps)
+    assert any(x.below for x in tree.roots)
+    found = {tuple(sorted(p)) for i, j in tree.pairs(lambda some: some) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard._exact(sets, i, j)}
+    assert want <= found and len(want) > 100 and len(found) < len(sets) ** 2 / 20
+
+
+def test_repeated_rows_draw_apart(spark):
+    """Many rows of one id and text: their source still comes near its target, and reruns agree."""
+    docs = spark.createDataFrame([(None, "one two three four", "hot", "x")] * 400 + [(i, f"w{i} x y z", "cold", "y") for i in range(100)], "doc_id long, text string, source string, digest string").repartition(7)
+    took = lambda: {r.source: r.n for r in mixing.emit(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    first = took()
+    # 2,000 words in shares of 1 and 2: 667 for the cold source, 1,333 for the hot one, of 4 words a row.
+    assert abs(first["hot"] - 333) < 30 and abs(first["cold"] - 167) < 20 and took() == first
+    assert mixing.emit(docs).columns == docs.columns
+
+
+def test_license_variants(spark):
+    got = {r.doc_id: r.license_id for r in licenses.license_variants(spark, "").collect()}
+    names = [k for k, _ in licenses.known_texts()]
+    assert got == {100 * i + k: (name if k < 5 else None) for i, name in enumerate(names) for k in range(6)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import quality, toxicity
 
@@ -22,14 +23,14 @@ def test_held_out(spark, query, label, score, least):
     assert auc(found[label].to_numpy(), found[score].to_numpy()) > least
 
 
-def test_ordinal_thresholds():
+def test_ordinal_thresholds(spark):
     rng = np.random.default_rng(6)
     texts, labels = [], []
     for _ in range(300):
         toxic = rng.random() < 0.4
         words = [f"word{i}" for i in rng.integers(0, 40, 30)] + ["vile"] * int(toxic * rng.integers(1, 9))
         texts.append(" ".join(words)), labels.append(int(toxic))
-    model = toxicity.Model(texts, np.array(labels))
+    model = toxicity.Model(spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int").join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id"))
     p = model.exceeds(["word1 word2", "vile word1", "vile " * 8, ""])
     assert (np.diff(model.thresholds) >= 0).all() and (np.diff(p, axis=1) <= 1e-12).all()
     severity = p.sum(axis=1)
@@ -44,6 +45,63 @@ def test_without_labels_or_text(spark):
     assert quality.score(docs.limit(0), quality.train(docs, labels)).count() == 0
 
 
+def test_ordinal_gradient(spark):
+    """At the fitted weights no small step lowers the penalised cumulative-link loss, taken straight from its definition."""
+    rng = np.random.default_rng(8)
+    n, m, grades = 200, 6, 3
+    x = rng.random((n, m)) * (rng.random((n, m)) < 0.6)
+    grade = np.clip((x @ np.array([2.0, -1, 0, 1, 0, 0]) + rng.normal(size=n)).round().astype(int), 0, grades)
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.where = {str(i): i for i in range(m)}
+    rows, ids = np.nonzero(x)
+    model._fit(rows, ids, x[rows, ids], grade, n, grades)
+
+    def loss(w, t):
+        eta = (x @ w)[:, None] - t[None, :]
+        above = grade[:, None] > np.arange(grades)
+        return np.where(above, np.log1p(np.exp(-eta)), np.log1p(np.exp(eta))).sum() / n + toxicity.RIDGE / 2 * (w**2).sum() + toxicity.LASSO * np.abs(w).sum()
+
+    best = loss(model.weights, model.thresholds)
+    for i in range(m):
+        for step in (0.05, -0.05):
+            assert loss(model.weights + step * np.eye(m)[i], model.thresholds) > best - 1e-6
+    for j in range(grades):
+        for step in (0.05, -0.05):
+            assert loss(model.weights, model.thresholds + step * np.eye(grades)[j]) > best - 1e-6
+
+
+def test_vote_is_the_nearest_neighbours(spark):
+    """Scores against a plain vote: all cosines, sorted, one text at a time; ties, repeats and long texts among them."""
+    rng = np.random.default_rng(9)
+    words = lambda lo, hi, n: " ".join(f"w{i}" for i in rng.integers(lo, hi, n))
+    texts = [words(0, 40, 30) if i % 2 else words(30, 70, 30) for i in range(80)] + [words(0, 40, 60_000), ""]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").withColumn("quality_score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.s for r in quality.score(docs, model, "s").collect()}
+    for d, text in enumerate(texts):
+        ids, counts = model._counts(text)
+        if not len(ids):
+            assert got[d] == model.share
+            continue
+        v = model._project((ids, counts))
+        cosines = model.vectors @ (v / np.linalg.norm(v))
+        near = np.argsort(-cosines)[: quality.NEIGHBOURS]
+        weight = np.maximum(cosines[near], 0) ** quality.SHARPNESS
+        assert abs(got[d] - ((weight * model.labels[near]).sum() + model.share) / (weight.sum() + 1)) < 1e-4
+    kept = quality.keep_good(docs.withColumn("_quality", F.lit(1)), labels)
+    assert kept.columns == ["doc_id", "text", "quality_score", "_quality"] and 0 < kept.count() < 83
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stage_on_an_empty_table(spark, stage):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    found = c.STAGES[stage][1](spark, docs, SMALL)
+    assert found.count() == 0 and (stage == 4 or found.columns == docs.columns)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
