@@ -9,13 +9,12 @@ it against lost executors:
   run of ``CHECKPOINT`` ids. A block is decoded alone; its runs are decoded side by side, one table look-up an id.
 
 Nulls and ties: a null text is empty and has the end id only. Documents are ordered by id, null ids last; rows that share
-an id follow each other in the order of their digest. An empty table gives an empty folder of blocks. Other columns are
-not read.
+an id follow each other in the order of their digest. A text of any length is one document of one block, so a task holds the
+ids of the longest. An empty table gives an empty folder of blocks. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles, session, shared_folder, text_slices, trim_worker
+from .common import delete_on_exit, discard, materialize, release_shuffles, session, shared_folder, text_slices, trim_worker
+from .repeats import _SYMBOLS, _mix, _sums
 
 #: Ids between two checkpoints of the bit stream.
 CHECKPOINT = 64
@@ -37,15 +37,19 @@ MAX_BITS = 16
 STRETCH = 2_000
 #: Id appended to each document.
 END_ID = 0
-#: Pieces of text whose ids a worker remembers; the memory is emptied when full.
-MEMO_PIECES = 60_000
+#: Pieces of text whose ids a worker remembers, and the longest of them in bytes: some 40 MB. When full, it keeps what was
+#: asked for again. What is remembered never changes a result.
+MEMO_PIECES = 1_000_000
+MEMO_BYTES = 64
 #: Bytes of text in each range of documents.
 RANGE_BYTES = 24 << 20
 
-#: A single space between two characters that aren't space: byte-level BPE never joins what stands before it and after it.
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-#: A space beside other white space, where a plain split would cut what belongs together.
-_UNSAFE = (re.compile(r" \s"), re.compile(r"[^\S ] "))
+# Bytes that may stand beside a space where a text is cut: visible ASCII, or the first byte of a character that is no white
+# space whatever follows. Unicode's white space begins with the bytes C2, E1, E2 and E3.
+_LEAD = np.zeros(256, bool)
+_LEAD[0x21:0x7F] = True
+_LEAD[0xC3:0xF5] = True
+_LEAD[[0xE1, 0xE2, 0xE3]] = False
 
 
 def default_tokenizer() -> str:
@@ -54,6 +58,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Level:
+    """Pieces and their ids, found by a 64-bit hash and told apart by their bytes."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray, firsts: np.ndarray, counts: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.used = hashes[order], used[order]
+        self.starts, self.sizes, self.firsts, self.counts = (x.astype(np.int32)[order] for x in (starts, sizes, firsts, counts))
+        self.raw, self.ids = raw, ids
+
+    def find(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(asked, place) of the pieces that are here, byte for byte."""
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        asked = np.flatnonzero((self.hashes[place] == hashes) & (self.sizes[place] == sizes))
+        place = place[asked]
+        same = _equal(raw, starts[asked], self.raw, self.starts[place], sizes[asked])
+        asked, place = asked[same], place[same]
+        self.used[place] = True
+        return asked, place
+
+    def merge(self, other: Level) -> Level:
+        both = [np.concatenate([getattr(self, k), getattr(other, k) + shift]) for k, shift in (("starts", len(self.raw)), ("firsts", len(self.ids)))]
+        join = lambda k: np.concatenate([getattr(self, k), getattr(other, k)])
+        return Level(join("hashes"), both[0], join("sizes"), join("raw"), both[1], join("counts"), join("ids"), join("used"))
+
+    def again(self) -> Level:
+        """Only the pieces that were asked for after they came in."""
+        some = self.used
+        sizes, counts = self.sizes[some], self.counts[some]
+        return Level(self.hashes[some], np.cumsum(sizes) - sizes, sizes, self.raw[_runs(self.starts[some], sizes)], np.cumsum(counts) - counts, counts, self.ids[_runs(self.firsts[some], counts)], np.zeros(len(sizes), bool))
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, where: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes`` bytes of ``a`` from ``at`` on are those of ``b`` from ``where`` on."""
+    wrong = np.concatenate([[0], np.cumsum(a[_runs(at, sizes)] != b[_runs(where, sizes)])])
+    ends = np.cumsum(sizes)
+    return wrong[ends] == wrong[ends - sizes]
+
+
 class Encoder:
     """Whole texts to ids, byte for byte as the tokenizers library encodes them.
 
@@ -74,8 +122,7 @@ class Encoder:
             isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and t.normalizer is None
             and not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in added.values())
         )
-        self.memo: dict[str, bytes] = {}
-        self.once: set[str] = set()
+        self.levels: list[Level] = []
         if self.splits:
             size = self.tokenizer.get_vocab_size()
             self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # one character stands for each byte
@@ -85,53 +132,88 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each with the space that it was cut at, from one run over all of them."""
-        if not pieces:
-            return []
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin at a cut, from one run over all of them, and how many each has."""
         # The library keeps many bytes for each character of a text while it encodes it, so the run goes in stretches.
-        runs = ["".join([" " + x for x in pieces[i : i + STRETCH]]) for i in range(0, len(pieces), STRETCH)]
-        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in runs])
-        ends = np.cumsum([len(x.encode()) + 1 for x in pieces])
-        cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right") * 4).tolist()
-        whole, start, out = ids.tobytes(), 0, []
-        for end in cuts:
-            out.append(whole[start:end])
-            start = end
-        return out
+        runs = [b"".join(pieces[i : i + STRETCH]).decode() for i in range(0, len(pieces), STRETCH)]
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in runs] or [np.empty(0, "<u4")])
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x) for x in pieces]), side="right")
+        return ids, np.diff(cuts, prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.splits:
+        data = [x.encode() for x in texts]
+        whole = b"".join(data)
+        if not self.splits or not whole:
             return self._ids(texts)
-        memo, heads, cut = self.memo, [], []
-        for text in texts:
-            plain = text[:1] != " " and text[-1:] != " " and not any(x.search(text) for x in _UNSAFE)
-            pieces = text.split(" ") if plain else _SPLIT.split(text)
-            heads.append(pieces[0])
-            cut.append(pieces[1:])
-        found = set().union(*cut)
-        new = [x for x in found if x not in memo]
-        fresh = dict(zip(new, self._pieces(new), strict=True))
-        memo.update(fresh)
-        out = [a + b"".join([memo[x] for x in b]) for a, b in zip(self._ids(heads), cut, strict=True)]
-        self._remember(fresh)
-        return out
-
-    def forget(self) -> None:
-        """Give the memory back: the worker may serve other operators next."""
-        self.memo.clear()
-        self.once.clear()
-
-    def _remember(self, fresh: dict[str, bytes]) -> None:
-        """Keep the pieces that came up in an earlier call too; most others never come up again."""
-        for x in fresh.keys() - self.once:
-            self.memo.pop(x, None)
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        if len(self.once) > MEMO_PIECES:
-            self.once.clear()
-        self.once |= fresh.keys()
+        raw, ends = np.frombuffer(whole, np.uint8), np.cumsum([len(x) for x in data])
+        heads = np.concatenate([[0], ends[:-1]])
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[heads] = True
+        space = np.flatnonzero(raw[1:-1] == 0x20) + 1
+        before, two = raw[space - 1], raw[np.maximum(space - 2, 0)]
+        good = _LEAD[raw[space + 1]] & ((before < 0x7F) & _LEAD[before] | (before >= 0x80) & (two >= 0xC3) & (two < 0xE0))
+        # A character of three bytes before the space: its first byte decides, and those of four bytes are no white space.
+        three = raw[np.maximum(space - 3, 0)]
+        good |= _LEAD[raw[space + 1]] & (before >= 0x80) & (two >= 0x80) & (two < 0xC0) & (three >= 0x80) & ((three < 0xC0) | _LEAD[three])
+        cuts = space[good]
+        cuts = cuts[~begins[cuts] & ~begins[cuts + 1]]
+        begins[cuts] = True
+        begins[-1] = False
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(starts, append=len(raw))
+        sums, down = _sums(_SYMBOLS[raw])
+        hashes = _mix((sums[starts + sizes] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
+        order = np.argsort(hashes)
+        new = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])
+        first, number = order[new], np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        if (sizes != sizes[first][number]).any() or (raw != raw[np.arange(len(raw)) + np.repeat(starts[first][number] - starts, sizes)]).any():
+            return self._ids(texts)  # two pieces of one hash
+        begins[heads] = False
+        ids, begin, count = self._look_up(whole, raw, hashes[first], starts[first], sizes[first], begins[starts[first]])
+        ids = ids[_runs(begin[number], count[number])]
+        total = np.concatenate([[0], np.cumsum(count[number])])
+        at = np.searchsorted(starts, np.concatenate([heads, [len(raw)]]))
+        at[np.concatenate([heads, [len(raw)]]) >= len(raw)] = len(starts)
+        marks = total[at].tolist()
+        return [ids[a:z].tobytes() for a, z in zip(marks, marks[1:], strict=False)]
+
+    def _look_up(self, whole: bytes, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, count): the ids of distinct pieces, remembered or encoded now."""
+        parts, seen = [], 0
+        begin, count, todo = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.arange(len(starts))
+        for level in self.levels:
+            asked, place = level.find(hashes[todo], starts[todo], sizes[todo], raw)
+            n = level.counts[place]
+            parts.append(level.ids[_runs(level.firsts[place], n)])
+            begin[todo[asked]], count[todo[asked]] = seen + np.cumsum(n) - n, n
+            seen += int(n.sum())
+            todo = np.delete(todo, asked)
+        pick = lambda some: [whole[a:z] for a, z in zip(starts[some].tolist(), (starts[some] + sizes[some]).tolist(), strict=True)]
+        alone, run = todo[~cut[todo]], todo[cut[todo]]
+        todo = np.concatenate([alone, run])
+        single = self._ids([x.decode() for x in pick(alone)])
+        ids, n = self._pieces(pick(run))
+        ids = np.concatenate([np.frombuffer(b"".join(single), "<u4"), ids])
+        n = np.concatenate([np.array([len(x) // 4 for x in single], np.int64), n])
+        parts.append(ids)
+        begin[todo], count[todo] = seen + np.cumsum(n) - n, n
+        keep = sizes[todo] <= MEMO_BYTES
+        if keep.any():
+            own, kept = todo[keep], sizes[todo][keep]
+            firsts = np.cumsum(n[keep]) - n[keep]
+            self._remember(Level(hashes[own], np.cumsum(kept) - kept, kept, raw[_runs(starts[own], kept)], firsts, n[keep], ids[_runs((np.cumsum(n) - n)[keep], n[keep])], np.zeros(len(own), bool)))
+        return np.concatenate(parts), begin, count
+
+    def _remember(self, level: Level) -> None:
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2].hashes) < 2 * len(self.levels[-1].hashes):
+            last = self.levels.pop()
+            self.levels[-1] = self.levels[-1].merge(last)
+        if sum(len(x.hashes) for x in self.levels) > MEMO_PIECES:
+            kept = [x.again() for x in self.levels if x.used.any()]
+            self.levels = kept if sum(len(x.hashes) for x in kept) <= MEMO_PIECES // 2 else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -242,7 +324,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, ahead = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in text_slices(batch, most=1 << 20):
+            for rows in text_slices(batch, most=3 << 19):
                 out = []
                 for data in enc.encode(rows.column("text").to_pylist()):
                     ids = np.frombuffer(data + end, "<u4")
@@ -251,7 +333,6 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                     ahead += len(ids)
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "ids", "width", "part", "ahead"])
-        enc.forget()
         trim_worker()
 
     ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -325,6 +406,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         trim_worker()
 
     encoded.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    delete_on_exit(spark, folder)
     discard(encoded)
 
 
