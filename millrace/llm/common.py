@@ -18,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of a row group of intermediate tables: a writer holds one in memory, and the default of 128 MB is much for texts.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -39,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage and survives lost executors."""
     spark, path = session(df), shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +54,17 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
+#: Rows in a batch for Python: 10,000 whole texts, Spark's default, may take more memory than all else of a worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in smaller batches than by default, unless the session already asks for as small ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with underscores in front until no column of the table is called so."""
     taken = {c.lower() for c in columns}

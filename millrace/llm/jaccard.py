@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_by_key, materialize, release_shuffles, row_key, session, text_slices, trim_worker, unused
+from .common import discard, join_by_key, materialize, release_shuffles, row_key, session, small_batches, text_slices, trim_worker, unused
 from .repeats import NULL_ID, Text, _batch, _by_bucket, _mix, _sums
 
 SHINGLE = 5
@@ -448,12 +448,13 @@ def resolve(sets: DataFrame, keys: list[str], owners: int) -> DataFrame:
     return dealt.select("owner", *keys, "doc", "label", "set").groupBy("owner").applyInArrow(run, "a long, b long")
 
 
-def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members (rk, doc, group, label) with the set of each, read from its text."""
+def with_sets(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
+    """members (rk, doc, group, label) with the set of each, read from its text; of rows that repeat id and text, from one."""
     few = members.count() <= BROADCAST_CANDIDATES
     work = docs.select(row_key().alias("rk"), "text")
     side = members.select("rk", "doc", "group", "label")
-    work = work.join(F.broadcast(side) if few else side, "rk").dropDuplicates(["doc"])
+    work = work.join(F.broadcast(side) if few else side, "rk")
+    work = work.dropDuplicates(["doc"]) if repeats else work
     schema = pa.schema([("doc", pa.int64()), ("group", pa.int64()), ("label", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,6 +491,7 @@ def _across(sets: DataFrame, named: DataFrame, links: DataFrame, chosen: str, ow
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """rk, doc, n (size of the set), label (one for each component; null without words) and component (its smallest id)."""
     spark = session(docs)
+    small_batches(spark)
     rows = materialize(sketch(docs))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "rk", "n", "bitmap", "prefix")).alias("c"), F.count(F.lit(1)).alias("copies"))
     # The numbers are written, so they stay what they are; ``doc`` is a class's number from here on, ``least`` its smallest id.
@@ -511,7 +513,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = materialize(members.groupBy("group").count().where(F.col("count") > BLOCK).select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     some_large = large.count()
     few = F.broadcast(large) if some_large <= 100_000 else large
-    sets = materialize(with_sets(docs, members))
+    again = rows.groupBy("rk").agg(F.count(F.lit(1)).alias("times")).where("times > 1").limit(1).count()
+    sets = materialize(with_sets(docs, members, again > 0))
     release_shuffles(spark)
     block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     links = materialize(resolve(sets.join(few, "group", "left").withColumn("block", block), ["group", "block"], 2 * owners))

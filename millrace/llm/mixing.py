@@ -55,14 +55,16 @@ def text_digest() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` with ``_nth``: how many rows with the same doc_id and digest come before it; the order among them is free.
 
+    ``keys`` holds doc_id and digest of the same rows.
+
     Only rows that repeat both are counted: within each partition first, then over partitions, of which a window sees one
     row each. So no group of repeated rows comes together in one task.
     """
     key = ["doc_id", "digest"]
-    again = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
+    again = materialize(keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
     many = again.count()
     if not many:
         return rows.withColumn("_nth", F.lit(0).cast("long"))
@@ -85,10 +87,11 @@ def draw(doc_id: Column, digest: Column, nth: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixing_plan(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Rows with doc_id, source, size and digest, and what else they hold, gain source_size, target and copies."""
+def mixing_plan(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rows: DataFrame | None = None) -> DataFrame:
+    """Rows gain source_size, target and copies: those of ``sized`` (doc_id, source, size, digest), or ``rows`` of the same
+    documents, which have doc_id, source and digest."""
     targets = materialize(source_targets(sized, weights, max_repeats).withColumnRenamed("source", "_source"))
-    sized = numbered(sized)
+    sized = numbered(sized if rows is None else rows, sized)
     if targets.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source")), "left")
     else:
@@ -103,8 +106,8 @@ def mixing_plan(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIG
 
 def emit(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mixed corpus: each document as often as the plan takes it, with its own columns."""
-    work = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), text_digest().alias("digest"))
-    taken = mixing_plan(work, seed, weights, max_repeats).where("copies > 0")
+    work = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id"), F.col("source"), text_digest().alias("digest"))
+    taken = mixing_plan(measured(docs), seed, weights, max_repeats, work).where("copies > 0")
     taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

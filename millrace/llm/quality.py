@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, text_slices, trim_worker, unused
+from .common import session, small_batches, text_slices, trim_worker, unused
 from .features import SAMPLE_ROWS, Rows, held_out, repetition, sample, shape, tokens, vocabulary
 
 DIMENSIONS = 48
@@ -151,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """``docs`` with a column ``name``, which it has not; the other columns stay."""
+    small_batches(session(docs))
     shared = session(docs).sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 

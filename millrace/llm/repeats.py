@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles, session, text_slices
+from .common import discard, materialize, release_shuffles, session, small_batches, text_slices
 
 LENGTH = 50
 GRAM = 25
@@ -363,6 +363,7 @@ def finish(work: DataFrame, covers: DataFrame, words: bool, finisher: Finisher,
 def cut_repeats(docs: DataFrame, words: bool, settler: Settler, finisher: Finisher, schema: str) -> DataFrame:
     """All five steps; ``schema`` names the finisher's columns."""
     spark = session(docs)
+    small_batches(spark)
     work, buckets, size = keyed(docs)
     per_unit = 8 if words else 1
     found = -(-2 * size // (per_unit * (LENGTH - GRAM + 2)))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_on_exit, discard, materialize, release_shuffles, session, shared_folder, text_slices, trim_worker
+from .common import delete_on_exit, discard, materialize, release_shuffles, session, shared_folder, small_batches, text_slices, trim_worker
 from .repeats import _SYMBOLS, _mix, _sums
 
 #: Ids between two checkpoints of the bit stream.
@@ -37,9 +37,9 @@ MAX_BITS = 16
 STRETCH = 2_000
 #: Id appended to each document.
 END_ID = 0
-#: Pieces of text whose ids a worker remembers, and the longest of them in bytes: some 40 MB. When full, it keeps what was
+#: Pieces of text whose ids a worker remembers, and the longest of them in bytes: some 30 MB. When full, it keeps what was
 #: asked for again. What is remembered never changes a result.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 700_000
 MEMO_BYTES = 64
 #: Bytes of text in each range of documents.
 RANGE_BYTES = 24 << 20
@@ -324,7 +324,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, ahead = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in text_slices(batch, most=3 << 19):
+            for rows in text_slices(batch, most=1 << 20):
                 out = []
                 for data in enc.encode(rows.column("text").to_pylist()):
                     ids = np.frombuffer(data + end, "<u4")
@@ -453,6 +453,7 @@ def digests(tokens: DataFrame) -> DataFrame:
 def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write the files into a new shared folder and digest what they hold."""
     folder = shared_folder(session(docs))
+    small_batches(session(docs))
     write_tokens(docs, folder, tokenizer)
     return digests(read_tokens(session(docs), folder))
 

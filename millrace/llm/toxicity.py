@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, text_slices
+from .common import session, small_batches, text_slices
 from .features import SAMPLE_ROWS, Rows, held_out, sample, vocabulary
 
 #: Grades above 0.
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, toxic_probability, expected_severity and grade, the most likely one, of each row."""
+    small_batches(session(docs))
     shared = session(docs).sparkContext.broadcast(model)
     names = ["doc_id", "toxic_probability", "expected_severity", "grade"]
 
