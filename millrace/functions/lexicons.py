@@ -57,34 +57,61 @@ SOCIAL_PHRASES = ("for more info", "for more detail", "top threads", "most read"
 CAPTION_WORDS = ("download", "load", "getty", "image", "photo", "source")
 #: Stop words of which a document needs two.
 STOP_WORDS = ("the", "is", "are", "am", "to", "of", "and", "that", "have", "with")
-#: Days of the calendar.
-DATES = (
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"[0-9]{2}-[0-9]{2}-[0-9]{2}",
-    r"[0-9]{4}/[0-9]{2}/[0-9]{2}",
-    r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
+#: Telephone numbers.
+PHONES = (
+    r"\d{3}-\d{3}-\d{4}",
+    r"\(\d{3}\)\s?\d{3}-\d{4}",
 )
-#: Days with names of months, and times of day.
+#: Dates and times of day.
 TIMES = (
-    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s[0-9]{1,2},\s[0-9]{4}",
-    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s[0-9]{1,2},\s[0-9]{4}",
-    r"[0-9]{1,2}\s(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s[0-9]{4}",
-    r"\b[0-9]{1,2}[:.][0-9]{2}\s*(a|p)?\.?m\.?\b",
+    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s\d{1,2},\s\d{4}",
+    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s\d{1,2},\s\d{4}",
+    r"\d{1,2}\s(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s\d{4}",
+    r"\b\d{1,2}[:.]\d{2}\s*(a|p)?\.?m\.?\b",
     r"\b([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\b",
     r"\b([01]?[0-9]|2[0-3])(:[0-5][0-9])?([ap]\.?m\.?)\b",
+    r"\b([01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.\d{1,6}\b",
 )
-#: Telephone numbers.
-PHONES = (
-    r"[0-9]{3}-[0-9]{3}-[0-9]{4}",
-    r"\([0-9]{3}\)\s?[0-9]{3}-[0-9]{4}",
-)
-#: Names, addresses and telephone numbers.
+#: Credits of photographs.
+AUTHORS = (r"\(Photo:[A-Z,a-z,\s]{0,20}\)",)
+#: Publication, dates, names, addresses, telephone numbers and times of day.
 CONTACTS = (
-    r"@[a-zA-Z0-9_]+([.-][a-zA-Z0-9_]+)*",
+    "published on",
+    "published by",
+    r"\d{4}-\d{2}-\d{2}",
+    r"\d{2}-\d{2}-\d{2}",
+    r"\d{4}/\d{2}/\d{2}",
+    r"\d{2}/\d{2}/\d{4}",
+    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s\d{1,2},\s\d{4}",
+    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s\d{1,2},\s\d{4}",
+    r"\d{1,2}\s(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s\d{4}",
+    r"@[a-zA-Z0-9_]+([\.-][a-zA-Z0-9_]+)*",
     r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    r"[0-9]{3}-[0-9]{3}-[0-9]{4}",
-    r"https?://(?:[-A-Za-z0-9_.]|(?:%[0-9a-fA-F]{2}))+",
+    r"\d{3}-\d{3}-\d{4}",
+    r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+",
+    r"\b\d{1,2}[:.]\d{2}\s*(a|p)?\.?m\.?\b",
+    r"\b([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\b",
+    r"\b([01]?[0-9]|2[0-3])(:[0-5][0-9])?([ap]\.?m\.?)\b",
+    r"\b([01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.\d{1,6}\b",
 )
+#: Lines that send the reader elsewhere, anywhere in a paragraph.
+DOWNLOADS = (r"For details on the", r"the link is")
+#: Thanks, publishers and credits anywhere; citations at the end of a paragraph.
+SOURCES = (r"^(Special thanks)", r"Published\s*by", r"All\s*photo\s*credits\s*and\s*copyright")
+CITATIONS = (r"\(cf\..*?\)$", r"\([\w\s&,]+\s*,\s*\d{4,}\)$")
+#: Where sentences are split.
+SENTENCE_SPLIT = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
+#: A numbered reference, and its mark in the text.
+NUMBERED = r"\[\d{1,2}\]\s.*(?<=\.)"
+NUMBERED_MARK = r"\s\[\d{1,2}\]"
+#: Calls to read on; those with capitals match no lower-cased word.
+READ_ON = (
+    "read more", "more words", "read next", "learn more", "see this article", "click here", "continue reading", "Read Full Article", "See More", "Click to View Details", "Read the Rest",
+    "Expand", "Show More", "Continue Browsing", "Read Next Section", "View Full Content", "Read On", "See Remaining", "Continue Watching", "Explore More",
+)
+#: Phrases from which on a page of a dictionary is cut, and the addresses of such pages.
+DICTIONARY_PHRASES = ("word of the day", "test Your *", "keep scrolling for more", "take the quiz")
+DICTIONARY_SITE = ("www.merriam-webster", "/dictionary")
 #: Contractions that miss their apostrophe.
 CONTRACTIONS = {
     "aint": "ain't",

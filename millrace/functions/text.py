@@ -37,9 +37,13 @@ def plain_words(t: Column) -> Column:
 
 def flagged_ratio(t: Column) -> Column:
     """Share of the words that are flagged; 0 without words."""
-    words = plain_words(t)
-    flagged = F.filter(words, lambda w: w.isin(*L.FLAGGED_WORDS))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(flagged) / F.size(words))
+
+    def share(words: Column) -> Column:
+        return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: w.isin(*L.FLAGGED_WORDS))) / F.size(words))
+
+    # Most texts hold no flagged word anywhere; the others' words are bound once, or they would be split at every mention.
+    counted = F.element_at(F.transform(F.array(plain_words(t)), share), 1)
+    return F.when(t.isNull(), None).when(F.lower(t).rlike("|".join(L.FLAGGED_WORDS)), counted).otherwise(0.0)
 
 
 def strip_special(t: Column) -> Column:
@@ -48,7 +52,7 @@ def strip_special(t: Column) -> Column:
 
 def sentences(t: Column) -> Column:
     """Split after a full stop, question or exclamation mark, but not within abbreviations and titles."""
-    return F.split(t, r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s")
+    return F.split(t, L.SENTENCE_SPLIT)
 
 
 def sha256_name(t: Column) -> Column:

@@ -22,7 +22,7 @@ def _any(patterns: tuple[str, ...]) -> str:
 
 
 def download_link(p: Column) -> Column:
-    return p.rlike("(?i)For details on the|the link is")
+    return p.rlike("(?i)" + _any(L.DOWNLOADS))
 
 
 def source_reference(p: Column) -> Column:
@@ -69,7 +69,7 @@ def too_short(p: Column, most: int = 4) -> Column:
 
 
 def contact_or_time(p: Column) -> Column:
-    return (T.part_count(p) < 10) & p.rlike(_any((*L.DATES, *L.TIMES, *L.CONTACTS)))
+    return (T.part_count(p) < 10) & p.rlike(_any(L.CONTACTS))
 
 
 def social_line(p: Column) -> Column:
@@ -78,7 +78,7 @@ def social_line(p: Column) -> Column:
 
 def phone_author_time(p: Column) -> Column:
     n = T.part_count(p)
-    author = F.lower(F.trim(p)).startswith("by ") | p.rlike(r"\(Photo:[A-Za-z,\s]{0,20}\)")
+    author = F.lower(F.trim(p)).startswith("by ") | p.rlike(_any(L.AUTHORS))
     return ((n < 80) & p.rlike(_any(L.PHONES))) | ((n < 20) & p.rlike(_any(L.TIMES))) | ((n < 10) & author)
 
 

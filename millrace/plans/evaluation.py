@@ -83,7 +83,7 @@ def pope(spark, sf_dir: str) -> DataFrame:
 
 
 def rollup(spark, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "supplier").join(F.broadcast(_table(spark, sf_dir, "nation").limit(1000)), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = _table(spark, sf_dir, "supplier").join(J.small(_table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return M.rollup_accuracy(rows, ["n_regionkey", "n_nationkey"], F.col("s_acctbal") > 0)
 
 
@@ -253,5 +253,5 @@ def oracles() -> dict:
         "j10_knn_topk": _KNN.format(where="q.vec_id % 20 = 0", k=5),
         "j11_self_knn": _KNN.format(where="q.vec_id <> d.vec_id", k=2),
         "j13_fill_missing": "SELECT doc_id, coalesce(CAST(toxic AS VARCHAR), '') AS answer FROM documents FULL JOIN labels USING (doc_id)",
-        "j15_shard_range": "SELECT shard, count(*) AS n, CAST(sum(doc_id - shard * 37) AS BIGINT) AS places FROM documents JOIN (SELECT unnest(range(0, 10)) AS shard) ON doc_id BETWEEN shard * 37 AND shard * 37 + 36 GROUP BY shard",
+        "j15_shard_range": "SELECT shard, count(*) AS n, CAST(sum(doc_id - shard * 37) AS BIGINT) AS places FROM documents JOIN (SELECT unnest(range((SELECT min(doc_id) // 37 FROM documents), (SELECT max(doc_id) // 37 + 1 FROM documents))) AS shard) ON doc_id BETWEEN shard * 37 AND shard * 37 + 36 GROUP BY shard",
     }

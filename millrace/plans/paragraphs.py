@@ -52,9 +52,9 @@ CONDITIONS = {
     "f20_short": f"{TOKENS} <= 2",
     "f21_too_short": f"{TOKENS} <= 4",
     "f22_aberrant_item": "starts_with(p, 'Things to do')",
-    "f26_contact_time": f"{PARTS} < 10 AND regexp_matches(p, {_pattern((*L.DATES, *L.TIMES, *L.CONTACTS))})",
+    "f26_contact_time": f"{PARTS} < 10 AND regexp_matches(p, {_pattern(L.CONTACTS)})",
     "f28_social_media": rf"regexp_matches(lower(p), '^[^\n]*(?:{'|'.join(L.SOCIAL_ENDS)}) *:? *$') OR {_contains('lower(p)', L.SOCIAL_PHRASES)}",
-    "f29_phone_author_time": rf"({PARTS} < 80 AND regexp_matches(p, {_pattern(L.PHONES)})) OR ({PARTS} < 20 AND regexp_matches(p, {_pattern(L.TIMES)})) OR ({PARTS} < 10 AND (starts_with(lower(trim(p)), 'by ') OR regexp_matches(p, '\(Photo:[A-Za-z,\s]{{0,20}}\)')))",
+    "f29_phone_author_time": rf"({PARTS} < 80 AND regexp_matches(p, {_pattern(L.PHONES)})) OR ({PARTS} < 20 AND regexp_matches(p, {_pattern(L.TIMES)})) OR ({PARTS} < 10 AND (starts_with(lower(trim(p)), 'by ') OR regexp_matches(p, {_pattern(L.AUTHORS)})))",
 }
 LINES = "SELECT doc_id, lang, unnest(range(0, len(ps))) AS idx, unnest(ps) AS p FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ps FROM documents)"
 

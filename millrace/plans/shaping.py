@@ -45,19 +45,11 @@ def generated(spark, sf_dir: str) -> DataFrame:
 
 
 def label_mask(spark, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.sequence(F.lit(0), F.col("n_chars")), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
+    ids = F.transform(F.sequence(F.lit(0), T.token_count(F.col("text"))), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
     masked = _table(spark, sf_dir, "documents").select("doc_id", A.mask_labels(ids, 3, 5, 0).alias("m"))
     return masked.select("doc_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("labels"))
 
 
-def _mask_brute(spark, sf_dir: str) -> DataFrame:
-    """The mask of single rows, exploded, as a window finds it: the last event before each place decides."""
-    ids = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_chars")), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))).alias("i", "x"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("x").isin(3, 5), F.col("x")), ignorenulls=True).over(before)
-    return ids.select("doc_id", F.col("i").cast("long").alias("i"), F.when((last == 3) & ~F.col("x").isin(0, 3), F.col("x")).otherwise(-100).alias("label"))
-
-
 def chat(spark, sf_dir: str) -> DataFrame:
     rows = _turns(spark, sf_dir)
     return rows.select("conv_id", *[F.md5(A.chat_prompt(F.col("turns"), s).cast("binary")).alias(s) for s in ("single", "two", "chatml", "llama_2", "plain")])
@@ -192,7 +184,7 @@ def heads_before(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "a01_assignment_weight": assignment, "a04_natural_text": natural_text, "a06_generated_markers": generated, "a11_label_mask": label_mask, "a11_label_mask_window": _mask_brute,
+        "a01_assignment_weight": assignment, "a04_natural_text": natural_text, "a06_generated_markers": generated, "a11_label_mask": label_mask,
         "a07_caption_text": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", A.caption_text(F.col("text")).alias("out")),
         "a14_chat_prompt": chat, "a16_fewshot_prompt": fewshot, "a19_resolution": resolution,
         "p04_parallel_array_check": array_check, "p05_image_cap": image_cap, "p10_pair_explode": pairs, "p11_option_rotation": rotations, "p12_image_front": image_front,
@@ -217,13 +209,12 @@ def oracles() -> dict:
         "plain": "t.text || chr(10)",
     }
     paired = f"{_TURNS}, p AS (SELECT conv_id, unnest(range(0, len(turns) // 2)) AS i, turns FROM t), q AS (SELECT conv_id, i, turns[2 * i + 1].text AS question, turns[2 * i + 2].text AS answer FROM p)"
-    mask = "WITH d AS (SELECT doc_id, unnest(range(0, least(n_chars, 60) + 1)) AS i FROM documents), x AS (SELECT doc_id, i, (i * 7 + doc_id) % 11 AS x FROM d), e AS (SELECT *, last_value(CASE WHEN x IN (3, 5) THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x), m AS (SELECT doc_id, i, CASE WHEN last = 3 AND x NOT IN (0, 3) THEN x ELSE -100 END AS label FROM e)"
+    mask = r"WITH d AS (SELECT doc_id, unnest(range(0, len(regexp_extract_all(text, '\S+')) + 1)) AS i FROM documents), x AS (SELECT doc_id, i, (i * 7 + doc_id) % 11 AS x FROM d), e AS (SELECT *, last_value(CASE WHEN x IN (3, 5) THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x), m AS (SELECT doc_id, i, CASE WHEN last = 3 AND x NOT IN (0, 3) THEN x ELSE -100 END AS label FROM e)"
     return {
         "a04_natural_text": f"WITH {parts} SELECT doc_id, md5({clean} || '<|endofchunk|></s>') AS digest FROM j",
         "a06_generated_markers": f"WITH j AS (SELECT conv_id, turn, replace(text, '. ', '. <|endofchunk|><image> ') AS t FROM conversations), c AS (SELECT conv_id, turn, {clean} AS c FROM j) SELECT conv_id, turn, CASE WHEN len(string_split(c, '<image>')) - 1 > 3 THEN array_to_string(string_split(c, '<image>')[1:3], '<image>') ELSE c END AS out FROM c",
         "a07_caption_text": "SELECT conv_id, turn, '<image>' || trim(text) || '<|endofchunk|></s>' AS out FROM conversations",
         "a11_label_mask": f"{mask} SELECT doc_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY i) AS labels FROM m GROUP BY doc_id",
-        "a11_label_mask_window": f"{mask} SELECT doc_id, i, label FROM m",
         "a14_chat_prompt": f"WITH {_TURNS} SELECT conv_id, {', '.join(f'md5({turn(f)}) AS {k}' for k, f in styles.items())} FROM t",
         "a16_fewshot_prompt": f"WITH {paired}, s AS (SELECT conv_id, string_agg('<image>Question:' || question || ' Short answer:' || answer || '<|endofchunk|>', '' ORDER BY i) FILTER (i < 2) AS s FROM q GROUP BY conv_id) SELECT conv_id, md5(CASE WHEN s IS NULL THEN '' ELSE s || '<image>' END || 'Question:What? Short answer:') AS digest FROM t LEFT JOIN s USING (conv_id)",
         "a19_resolution": f"WITH p AS (SELECT p_partkey, p_size * 20 AS pw, p_partkey % 700 + 100 AS ph FROM part), r AS (SELECT p_partkey, i, w, h, least(floor(pw * least(w / pw, h / ph)) * floor(ph * least(w / pw, h / ph)), pw * ph) AS kept FROM p, {_CHOICES}), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY kept DESC, w * h - kept, i) AS n FROM r) SELECT p_partkey, w, h FROM k WHERE n = 1",
