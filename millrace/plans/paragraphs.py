@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import lexicons as L
 from millrace.functions import text as T
+from millrace.functions import tokenize as TK
 from millrace.operators import paragraphs as P
+from millrace.operators import tree as TR
 
 
 def _docs(spark, sf_dir: str) -> DataFrame:
@@ -111,10 +113,69 @@ def drop_audit(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce(P.first_rule(F.col("p")), F.lit("kept")).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _trees(spark, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "lang", TR.from_lines(F.col("text")).alias("xml"))
+
+
+def tree_nodes(spark, sf_dir: str) -> DataFrame:
+    return TR.nodes(_trees(spark, sf_dir), "doc_id").select("doc_id", "idx", "parent", "tag", "text")
+
+
+def tree_text(spark, sf_dir: str) -> DataFrame:
+    rows = TR.mapped(_trees(spark, sf_dir), "xml", lambda x: TR.to_text(TR.parse(x, blank=False)))
+    return rows.select("doc_id", F.md5(F.col("xml").cast("binary")).alias("digest"))
+
+
+def tree_xml(spark, sf_dir: str) -> DataFrame:
+    """Documents read into fields and written again."""
+    rows = TR.mapped(_trees(spark, sf_dir), "xml", lambda x: TR.to_xml(TR.document(x)))
+    return rows.select("doc_id", F.length("xml").cast("long").alias("n_chars"), F.regexp_count("xml", F.lit("<p[>/]")).cast("long").alias("n_paras"))
+
+
+def tree_cascade(spark, sf_dir: str) -> DataFrame:
+    """All filters and gates, three times over: documents and characters kept by language."""
+    kept = TR.cascade(_trees(spark, sf_dir)).where("xml is not null")
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("xml")).alias("n_chars"))
+
+
+#: Snippets that each filter is meant for, and one that all leave alone.
+SNIPPETS = {
+    "f03": '<p title="[Video]x">a [Video]b</p>', "f05": "<p>For details on the plan, write to us.</p>", "f06": "<p>Published by the press of a town</p>", "f07": "<p>ALL OF THIS IS LOUD</p>",
+    "f08": "<p>12345 678</p>", "f09": "<p>12 followers</p>", "f10": "<p>Alone</p>", "f11": "<p>Please sign in here</p>", "f12": "<p>anal words</p>", "f14": "<p>Watch on YouTube or elsewhere</p>",
+    "f15": '<head rend="h2">a</head><head rend="h2">b</head>', "f16": "<p>The house was sold. Read more »</p>", "f18": "<graphic/>", "f19": "<p>Advertisement</p>", "f20": "<p>two words</p>",
+    "f21": "<p>no more than four</p>", "f22": "<item>Things to do in winter</item>", "f24": "<p>[1] A book.</p>", "f25": "<p>Sponsored By</p>", "f26": "<p>published on a day</p>", "f27": "<p>(in brackets)</p>",
+    "f28": "<p>Share :</p>", "f29": "<p>Call 202-358-1726 now</p>",
+}
+
+
+def tree_snippets(spark, sf_dir: str) -> DataFrame:
+    """Every document with the snippet of one filter at its end, before and after that filter: elements that it drops."""
+    names = sorted(SNIPPETS)
+    at = F.pmod("doc_id", F.lit(len(names))).cast("int")
+    snippet = F.element_at(F.array(*[F.lit(SNIPPETS[n]) for n in names]), at + 1)
+    short = F.lit("<doc><main><p>This paragraph is long enough to stay whatever the filters ask of it, for it tells of nothing else.</p>")
+    rows = _docs(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, names)), at + 1).alias("filter"), F.concat(short, snippet, F.lit("</main><comments/></doc>")).alias("xml"))
+    tagged = rows.select("filter", F.concat("filter", F.lit("|"), "xml").alias("xml"))
+    done = TR.mapped(tagged, "xml", lambda x: str(x.count("<p") + x.count("<head") + x.count("<graphic") + x.count("<item") - (y := TR.serialise(TR.FILTERS[x[:3]](TR.parse(x[4:])))).count("<p") - y.count("<head") - y.count("<graphic") - y.count("<item")))
+    return done.groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("xml").cast("long")).alias("dropped"))
+
+
+def tokenized(spark, sf_dir: str) -> DataFrame:
+    """Words by the treebank's rules: how many, and how many of them are marks."""
+    rows = TK.tokenized(_docs(spark, sf_dir))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_marks"))
+
+
 def queries() -> dict:
     found = {name: _rule(name) for name in P.RULES}
     found |= {
         "para_split": para_split,
+        "t01_tree_nodes": tree_nodes,
+        "t04_tree_xml": tree_xml,
+        "t06_tree_text": tree_text,
+        "g7_tree_cascade": tree_cascade,
+        "f23_tree_snippets": tree_snippets,
+        "c01_treebank_words": tokenized,
         "f15_adjacent_heads": heads_discard,
         "f25_reference_tail": _rest("f25", P.reference_tail),
         "f27_last_bracket": _rest("f27", P.last_bracket),
@@ -142,7 +203,13 @@ def oracles() -> dict:
     counts = r"list_transform(ps, lambda p: len(regexp_extract_all(p, '\S+')))"
     alone = f"SELECT *, CASE {' '.join(f'WHEN {CONDITIONS[n]} THEN {chr(39)}{n}{chr(39)}' for n in P.CASCADE)} END AS rule FROM lines"
     short = "coalesce(list_max(c), 0) < 35 AND (len(c) = 0 OR list_sum(c) / len(c) < 12)"
+    valid = r"regexp_replace(text, '[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g')"
+    ps = f"string_split(replace({valid}, chr(13), chr(10)), chr(10))"
+    escaped = f"replace(replace(replace({valid}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    snippets = ", ".join(f"({i}, '{n}', {0 if n in ('f03',) else 1})" for i, n in enumerate(sorted(SNIPPETS)))
     found |= {
+        "t01_tree_nodes": f"WITH d AS (SELECT doc_id, {ps} AS ps FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, 0 AS idx, NULL AS parent, 'doc' AS tag, NULL AS text FROM d UNION ALL SELECT doc_id, 1, 0, 'main', NULL FROM d UNION ALL SELECT doc_id, 2 + unnest(range(0, len(ps))), 1, 'p', CASE WHEN trim(unnest(ps)) = '' THEN NULL ELSE unnest(ps) END FROM d UNION ALL SELECT doc_id, 2 + len(ps), 0, 'comments', NULL FROM d) SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(parent AS BIGINT) AS parent, tag, text FROM n",
+        "f23_tree_snippets": f"WITH f AS (SELECT * FROM (VALUES {snippets}) v(i, filter, drops)) SELECT filter, count(*) AS n, CAST(sum(drops) AS BIGINT) AS dropped FROM documents JOIN f ON doc_id % {len(SNIPPETS)} = i GROUP BY filter",
         "para_split": rf"{lines} SELECT doc_id, idx, CAST({TOKENS} AS BIGINT) AS n_tokens, CAST(len(p) AS BIGINT) AS n_chars FROM lines",
         "f15_adjacent_heads": "WITH t AS (SELECT page_id, regexp_extract_all(lower(html), '<(h[1-6]|p|li|td|img)[ >]', 1) AS tags FROM pages), x AS (SELECT page_id, tags, unnest(range(0, len(tags))) AS idx FROM t) SELECT page_id, idx FROM x WHERE starts_with(tags[idx + 1], 'h') AND tags[idx + 1] = tags[idx + 2]",
         "f25_reference_tail": f"WITH a AS ({arrays}), h AS (SELECT *, list_min(list_filter(range(0, len(ps)), lambda i: i >= CASE WHEN len(ps) > 20 THEN floor(len(ps) * 3 / 4) ELSE 0 END AND len(string_split(ps[i + 1], ' ')) < 10 AND contains(lower(ps[i + 1]), 'reference'))) AS cut FROM a), rest AS (SELECT doc_id, list_filter(CASE WHEN cut IS NULL THEN ps ELSE ps[1:cut] END, lambda p: NOT contains(lower(p), 'sponsore')) AS ps FROM h) {rest}",
