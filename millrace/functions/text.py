@@ -163,3 +163,39 @@ def clean_markers(t: Column) -> Column:
 def without_first(t: Column, mark: str) -> Column:
     at = F.locate(mark, t)
     return F.when(at == 0, t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + len(mark), F.length(t))))
+
+
+def eval_answer(t: Column) -> Column:
+    """Tokens, then punctuation, then numbers, articles and contractions."""
+    spaced = F.trim(F.translate(simple_tokens(t), "\n\t", "  "))
+    return F.element_at(F.transform(F.array(spaced), lambda x: plain_answer(clear_punctuation(x))), 1)
+
+
+def prompt_question(prompt: Column) -> Column:
+    """The question of a prompt, in lower case: between its marks, or the line that holds it; null for other layouts."""
+    lines = F.split(prompt, "\n")
+    marked = F.regexp_extract(prompt, r"(?s)Question: (.*?) Short answer:", 1)
+    by_ocr = prompt.contains("Reference OCR token: ") & (F.size(lines) == 3)
+    return F.lower(
+        F.when(prompt.startswith("OCR tokens: "), marked)
+        .when(by_ocr, F.when(prompt.startswith("Reference OCR token:"), F.get(lines, 1)).otherwise(F.get(lines, 0)))
+        .when(F.size(lines) == 2, F.get(lines, 0))
+    )
+
+
+def choice_example(question: Column, choices: Column, answer: Column | None = None) -> Column:
+    """A question, its lettered choices, and the answer if it is to be shown."""
+    lettered = F.transform(choices, lambda c, i: F.concat(F.lit("\n"), F.char(i + 65), F.lit(". "), c))
+    shown = F.concat(question, F.array_join(lettered, ""), F.lit("\nAnswer:"))
+    return shown if answer is None else F.concat(shown, F.lit(" "), answer, F.lit("\n\n"))
+
+
+def subject_header(subject: Column) -> Column:
+    return F.concat(F.lit("The following are multiple choice questions (with answers) about  "), F.replace(subject, F.lit("_"), F.lit(" ")), F.lit(".\n\n"))
+
+
+def has_phrase(words: Column, phrase: tuple[str, ...]) -> Column:
+    """Whether the lower-cased words hold the phrase in a row."""
+    low, n = F.transform(words, F.lower), len(phrase)
+    want = F.array(*map(F.lit, phrase))
+    return F.element_at(F.transform(F.array(low), lambda w: F.exists(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.slice(w, i, F.lit(n)) == want)), 1)

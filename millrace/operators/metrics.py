@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,57 @@ def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> D
     mean = hit.agg(F.avg(F.log(F.col("hit") / F.col("all"))).alias("m"), F.count(F.lit(1)).alias("orders"))
     penalty = F.when(F.col("lp") > F.col("lr"), 1.0).otherwise(F.exp(1 - F.col("lr") / F.col("lp")))
     return mean.join(length).select(F.round(F.when(F.col("orders") == order, F.coalesce(penalty * F.exp("m"), F.lit(0.0))).otherwise(0.0), 6).alias("bleu"))
+
+
+def conditional_accuracy(answer: Column, truths: Column, normalise: Callable[[Column], Column]) -> Column:
+    """Soft accuracy, of normalised texts if the truths differ among themselves."""
+    differ = F.size(F.array_distinct(truths)) > 1
+    return F.when(differ, soft_accuracy(normalise(answer), F.transform(truths, normalise))).otherwise(soft_accuracy(answer, truths))
+
+
+def contained(answer: Column, truths: Column) -> Column:
+    """1 if the answer is one of the truths."""
+    return F.array_contains(truths, answer).cast("double")
+
+
+def accuracy(rows: DataFrame, right: Column, subset: Column, *groups: str) -> DataFrame:
+    """Rows, right ones and their share, of all rows and of a subset; null shares where there are none."""
+    both = rows.select(*groups, right.alias("r"), subset.alias("s"))
+    share = lambda a, b: F.round(F.try_divide(100 * F.col(a), F.col(b)), 4)
+    n = both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count_if("r").alias("n_right"), F.count_if("s").alias("n_subset"), F.count_if(F.col("r") & F.col("s")).alias("n_subset_right"))
+    return n.select("*", share("n_right", "n").alias("acc"), share("n_subset_right", "n_subset").alias("subset_acc"))
+
+
+def ensemble(rows: DataFrame, ours: Column, other: Column, third: Column | None = None) -> DataFrame:
+    """Right or wrong answers of two or three sources, null where one failed: ours alone, ours where the other failed, the
+    third before both, any of them, and how often the other and the third are missing."""
+    third = F.lit(None).cast("boolean") if third is None else third
+    both = rows.select(ours.alias("a"), other.alias("b"), third.alias("c"))
+    yes = lambda *xs: F.count_if(F.coalesce(*xs, F.lit(False)))
+    either = F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False)) | F.coalesce("c", F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("n"), yes("a").alias("ours"), yes("b", "a").alias("fallback"), yes("c", "b", "a").alias("requeried"), F.count_if(either).alias("upper_bound"), F.count_if(F.col("b").isNull()).alias("failed"), F.count_if(F.col("c").isNull()).alias("missing"))
+
+
+def ensemble_mean(rows: DataFrame, key: str, choice: str, score: str) -> DataFrame:
+    """Mean score of each choice over repetitions, and the best choice of each key."""
+    mean = rows.groupBy(key, choice).agg(F.avg(score).alias("score"))
+    return mean.groupBy(key).agg(F.max_by(choice, F.struct("score", choice)).alias(choice), F.max("score").alias("score"))
+
+
+def sequence_score(scores: Column, mean: bool = True) -> Column:
+    """Sum of token scores, by their number if asked for."""
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    return total / F.size(scores) if mean else total
+
+
+def count_samples(rows: DataFrame, batch: int) -> DataFrame:
+    """Elements, and batches that they fill."""
+    return rows.agg(F.count(F.lit(1)).alias("n_elements"), F.ceil(F.count(F.lit(1)) / batch).alias("n_batches"))
+
+
+def throughput(rows: DataFrame, at: str, samples: str, world: int) -> DataFrame:
+    """Samples a second between the first and the last report, and for each of ``world`` workers."""
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.max(when) - F.min(when)
+    total = rows.agg(F.sum(samples).alias("samples"), (span / 1e6).alias("seconds"))
+    return total.select("samples", "seconds", F.round(F.try_divide("samples", "seconds"), 6).alias("per_second"), F.round(F.try_divide(F.col("samples"), F.col("seconds") * world), 6).alias("per_worker"))

@@ -34,6 +34,8 @@ def pinned(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
     return rows.checkpoint()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, paragraphs, shaping
+from . import evaluation, paragraphs, samples, shaping
 
-_MODULES = (paragraphs, evaluation, shaping)
+_MODULES = (paragraphs, evaluation, shaping, samples)
 
 
 def queries() -> dict:
