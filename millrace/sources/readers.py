@@ -141,3 +141,129 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pages.dtypes if n != column)
     return pages.mapInArrow(run, f"{schema}, body string")
+
+
+def text_with_retry(spark: SparkSession, path: str, tries: int = 10, pause: float = 1.0) -> DataFrame:
+    """Lines of more than two characters with their file, listing the files again if the store fails meanwhile.
+
+    Reading itself is retried by Spark's tasks (``spark.task.maxFailures``).
+    """
+    import time
+
+    for n in range(tries):
+        try:
+            return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("url")).where(F.length(F.trim("value")) > 2)
+        except Exception:
+            if n + 1 == tries:
+                raise
+            time.sleep(pause)
+    raise ValueError("tries must be positive")
+
+
+def json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A file that is one JSON document, or a list of records."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def json_by_suffix(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """``.json`` as one document, ``.jsonl`` as lines; other names are an error."""
+    if path.endswith(".jsonl"):
+        return json_lines(spark, path, schema, strict=True) if schema else spark.read.option("mode", "FAILFAST").json(path)
+    if path.endswith(".json"):
+        return json_document(spark, path, schema)
+    raise ValueError(f"neither .json nor .jsonl: {path}")
+
+
+def samples_of_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(url, json): a sample for each line of JSON lines, or of those in zip files."""
+    if path.endswith(".zip"):
+        return zipped_lines(spark, path).select(F.col("path").alias("url"), F.col("value").alias("json"))
+    return spark.read.text(path).where("value <> ''").select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("json"))
+
+
+def shards(spark: SparkSession, top: str, folders: str = "*", names: str = "*.jsonl") -> DataFrame:
+    """(url, length): the files below the folders that match, found by the store's listing without reading them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", names).load(f"{top.rstrip('/')}/{folders}")
+    return found.select(F.col("path").alias("url"), "length")
+
+
+def expand_braces(pattern: str) -> list[str]:
+    """``a{0..2}{x,y}`` as all names it stands for; numbers keep the width of the first."""
+    import re
+
+    m = re.search(r"\{([^{}]*)\}", pattern)
+    if m is None:
+        return [pattern]
+    span = re.fullmatch(r"(\d+)\.\.(\d+)", m[1])
+    if span:
+        low, high = int(span[1]), int(span[2])
+        inside = [str(i).zfill(len(span[1])) for i in range(low, high + 1)]
+    else:
+        inside = m[1].split(",")
+    return [x for part in inside for x in expand_braces(pattern[: m.start()] + part + pattern[m.end() :])]
+
+
+def dataset_size(spark: SparkSession, pattern: str, sizes: DataFrame | None, total: int | None = None) -> tuple[int | None, int]:
+    """Samples and shards of a pattern: from (name, size) rows, shards without one counting 0, or else the given total."""
+    names = [x.rpartition("/")[2] for x in expand_braces(pattern)]
+    if sizes is None:
+        return total, len(names)
+    listed = spark.createDataFrame([(x,) for x in names], "name string")
+    found = listed.join(sizes, "name", "left").agg(F.sum(F.coalesce("size", F.lit(0))).alias("n")).first()
+    return int(found.n or 0), len(names)
+
+
+def headerless_csv(spark: SparkSession, path: str, columns: list[str], first: int | None = None) -> DataFrame:
+    """Rows of CSV files without headers, with ``url``; the first rows of each file if asked for.
+
+    Such a file is a subject's examples. A file is read as one partition's rows in order, since quoted fields may hold line
+    feeds.
+    """
+    rows = spark.read.option("multiLine", True).option("escape", '"').schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("url"), F.monotonically_increasing_id().alias("_n"))
+    if first is None:
+        return rows.drop("_n")
+    place = F.row_number().over(Window.partitionBy("url").orderBy("_n"))
+    return rows.withColumn("_k", place).where(F.col("_k") <= first).drop("_k", "_n")
+
+
+def tsv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("sep", "\t").option("header", True).csv(path)
+
+
+def keyed_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Records of JSON lines, one a key: the last of those with the same key."""
+    rows = json_lines(spark, path, schema).where(F.col(key).isNotNull())
+    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    names = [c for c in rows.columns if c not in (key, "_at")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*names), "_at").alias("r"))
+    return last.select(key, "r.*")
+
+
+def decoded_images(rows: DataFrame, column: str = "image") -> DataFrame:
+    """Base64 text as bytes; null where it is none."""
+    return rows.withColumn(column, F.expr(f"try_to_binary(`{column}`, 'base64')"))
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, data): whole files by their last path segment, for joins on names."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("data"))
+
+
+def context_images(spark: SparkSession, path: str) -> DataFrame:
+    """(name, data) of a folder of files, or of a JSON map from names to base64 text."""
+    if not path.endswith(".json"):
+        return files(spark, path)
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "data"))
+    return decoded_images(whole, "data")
+
+
+def read_shards(spark: SparkSession, path: str, rows_each: int) -> DataFrame:
+    """(url, shard, row, index, json): lines of shards in order of their names, with their places in the shard and overall.
+
+    A shard is read by one task, in order; shards hold ``rows_each`` lines at most, so that places are known without a count.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), "value")
+    named = whole.select("url", F.regexp_extract(F.element_at(F.split("url", "/"), -1), r"([0-9]+)[^0-9]*$", 1).cast("long").alias("shard"), F.posexplode(F.split("value", "\n")).alias("row", "json"))
+    return named.where("json <> ''").select("url", "shard", F.col("row").cast("long").alias("row"), (F.col("shard") * rows_each + F.col("row")).alias("index"), "json")

@@ -49,3 +49,30 @@ def submission(predictions: DataFrame, questions: DataFrame, key: str, answer: s
 def submission_by_question(predictions: DataFrame, questions: DataFrame, key: str, answer: str, image: str) -> DataFrame:
     """One row a question with its image; predictions of other questions are left out."""
     return with_default(questions.select(key, image), predictions, key, answer, "").select(image, answer)
+
+
+def text_lines(rows: DataFrame, path: str, column: str = "value") -> None:
+    """A line for each row, each with a line feed."""
+    rows.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def json_list(rows: DataFrame, path: str) -> None:
+    """A list of records in one file, each on a line of its own: for reports that are small enough to be read whole.
+
+    Records are written one after the other, never collected into a single value.
+    """
+    last = rows.count()
+    numbered = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).coalesce(1)
+    lines = numbered.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(""), F.col("j"), F.when(F.monotonically_increasing_id() == last - 1, "]").otherwise(",")).alias("value"))
+    (lines if last else rows.sparkSession.createDataFrame([("[]",)], "value string")).write.text(path)
+
+
+def csv_table(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).csv(path)
+
+
+def feature_cache(rows: DataFrame, path: str, key: str, vector: str) -> None:
+    """(key, vector) with vectors of unit length, in ranges of the key."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform(vector, lambda x: F.try_divide(x, length).cast("float"))
+    rows.select(key, unit.alias(vector)).repartitionByRange(key).write.parquet(path)
