@@ -41,6 +41,8 @@ HELD_PHRASES = 1_500_000
 #: Bytes of text in a bucket of documents.
 BUCKET_BYTES = 16 << 20
 NULL_ID = (1 << 63) - 1
+#: Bytes of text that a worker cuts at once: each takes some 100 bytes of arrays meanwhile.
+SLICE_BYTES = 1 << 20
 #: Words of more bytes get their number from their bytes: sums modulo 2^64 agree for some regular strings of 1,024 and more.
 LONG_WORD = 32
 
@@ -192,7 +194,7 @@ def parse(work: DataFrame, words: bool, owners: int) -> DataFrame:
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, most=SLICE_BYTES):
                 text = Text(rows.column("text").to_pylist(), words)
                 doc, _, _, trigger, digest = phrases(text)
                 n = np.bincount(doc, minlength=len(rows))
@@ -284,7 +286,7 @@ def collect(work: DataFrame, flags: DataFrame, words: bool, owners: int) -> Data
         known, ordinals, flag = _answers(answers, 3)
         b = key[0].as_py()
         for batch in docs.combine_chunks().to_batches() if len(known) else []:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, most=SLICE_BYTES):
                 rk, ids = rows.column("rk").to_numpy(), rows.column("doc").to_numpy()
                 row, place = _hits(rk, known)
                 if not len(row):
@@ -347,7 +349,7 @@ def finish(work: DataFrame, covers: DataFrame, words: bool, finisher: Finisher,
         known, lo, hi = _answers(answers, 3)
         out = []
         for batch in docs.combine_chunks().to_batches():
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, most=SLICE_BYTES):
                 text = Text(rows.column("text").to_pylist(), words)
                 row, place = _hits(rows.column("rk").to_numpy(), known)
                 change = np.zeros(len(text.units) + 1, np.int64)
