@@ -10,10 +10,11 @@ from millrace.functions import text as T
 from millrace.functions import tokenize as TK
 from millrace.operators import paragraphs as P
 from millrace.operators import tree as TR
+from millrace.sources.readers import spread
 
 
 def _docs(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
 
 
 def _quoted(words) -> str:

@@ -218,7 +218,7 @@ def permutations(spark, sf_dir: str) -> DataFrame:
 
 def token_scores(spark, sf_dir: str) -> DataFrame:
     v = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(M.sequence_score(v), 12).alias("mean"), F.round(M.sequence_score(v, False), 3).alias("total"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(M.sequence_score(v), 12).alias("mean"), F.round(M.sequence_score(v, False), 8).alias("total"))
 
 
 def sample_count(spark, sf_dir: str) -> DataFrame:
@@ -349,7 +349,7 @@ def oracles() -> dict:
         "m11_three_sources": f"WITH b AS (SELECT quality = 1 AS ours, CASE WHEN doc_id % 5 > 0 THEN toxic = 0 END AS other, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 = 0 END AS third FROM labels) SELECT count(*) AS n, count(*) FILTER (ours) AS ours, count(*) FILTER (coalesce(other, ours)) AS fallback, count(*) FILTER (coalesce(third, other, ours)) AS requeried, count(*) FILTER (ours OR {good} OR coalesce(third, false)) AS upper_bound, count(*) FILTER (other IS NULL) AS failed, count(*) FILTER (third IS NULL) AS missing FROM b",
         "m16_top1": "SELECT round(avg(CAST(quality = toxic AS INT)), 6) AS accuracy FROM labels",
         "m19_permutations": "WITH m AS (SELECT user_id, event_type, avg(floor(value)) AS score FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, (score, event_type)) AS event_type, round(max(score), 6) AS score FROM m GROUP BY user_id",
-        "m20_token_scores": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4)) AS e FROM embeddings) SELECT vec_id, round(list_sum(e) / len(e), 12) AS mean, round(list_sum(e), 3) AS total FROM v",
+        "m20_token_scores": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4)) AS e FROM embeddings) SELECT vec_id, round(list_sum(e) / len(e), 12) AS mean, round(list_sum(e), 8) AS total FROM v",
         "m25_sample_count": "SELECT count(*) AS n_elements, CAST(ceil(count(*) / 32) AS BIGINT) AS n_batches FROM documents",
         "m27_throughput": "WITH t AS (SELECT CAST(32 * count(*) AS BIGINT) AS samples, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events) SELECT samples, seconds, round(samples / seconds, 6) AS per_second, round(samples / (seconds * 8), 6) AS per_worker FROM t",
         "c08_phrase": "SELECT conv_id, turn, contains(' ' || lower(text) || ' ', ' the a ') AS out FROM conversations",

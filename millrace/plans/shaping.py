@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import arrange as A
 from millrace.operators import sampling as S
 from millrace.sources import readers as R
+from millrace.sources.readers import spread
 from millrace.streaming import ingest as I
 
 
@@ -45,8 +46,8 @@ def generated(spark, sf_dir: str) -> DataFrame:
 
 
 def label_mask(spark, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.sequence(F.lit(0), T.token_count(F.col("text"))), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
-    masked = _table(spark, sf_dir, "documents").select("doc_id", A.mask_labels(ids, 3, 5, 0).alias("m"))
+    ids = F.transform(F.sequence(F.lit(0), F.col("n_chars")), lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(11)))
+    masked = spread(_table(spark, sf_dir, "documents").select("doc_id", "n_chars")).select("doc_id", A.mask_labels(ids, 3, 5, 0).alias("m"))
     return masked.select("doc_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("labels"))
 
 
@@ -209,7 +210,7 @@ def oracles() -> dict:
         "plain": "t.text || chr(10)",
     }
     paired = f"{_TURNS}, p AS (SELECT conv_id, unnest(range(0, len(turns) // 2)) AS i, turns FROM t), q AS (SELECT conv_id, i, turns[2 * i + 1].text AS question, turns[2 * i + 2].text AS answer FROM p)"
-    mask = r"WITH d AS (SELECT doc_id, unnest(range(0, len(regexp_extract_all(text, '\S+')) + 1)) AS i FROM documents), x AS (SELECT doc_id, i, (i * 7 + doc_id) % 11 AS x FROM d), e AS (SELECT *, last_value(CASE WHEN x IN (3, 5) THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x), m AS (SELECT doc_id, i, CASE WHEN last = 3 AND x NOT IN (0, 3) THEN x ELSE -100 END AS label FROM e)"
+    mask = r"WITH d AS (SELECT doc_id, unnest(range(0, n_chars + 1)) AS i FROM documents), x AS (SELECT doc_id, i, (i * 7 + doc_id) % 11 AS x FROM d), e AS (SELECT *, last_value(CASE WHEN x IN (3, 5) THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x), m AS (SELECT doc_id, i, CASE WHEN last = 3 AND x NOT IN (0, 3) THEN x ELSE -100 END AS label FROM e)"
     return {
         "a04_natural_text": f"WITH {parts} SELECT doc_id, md5({clean} || '<|endofchunk|></s>') AS digest FROM j",
         "a06_generated_markers": f"WITH j AS (SELECT conv_id, turn, replace(text, '. ', '. <|endofchunk|><image> ') AS t FROM conversations), c AS (SELECT conv_id, turn, {clean} AS c FROM j) SELECT conv_id, turn, CASE WHEN len(string_split(c, '<image>')) - 1 > 3 THEN array_to_string(string_split(c, '<image>')[1:3], '<image>') ELSE c END AS out FROM c",

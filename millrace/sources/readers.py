@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 REPAIR_TRIES = 20
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt to all cores: a small file is one task's work otherwise.
+
+    Tables of many files stay as they are, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Lines as rows; a damaged line fails the read if strict, and is a null row otherwise."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)

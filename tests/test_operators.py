@@ -100,8 +100,6 @@ def test_labels_over_the_whole_length(spark, tmp_path):
             on = x == 3 or (on and x != 5)
         want[d] = out
     assert {r.doc_id: [int(x) for x in r.labels.split(",")] for r in shaping.label_mask(spark, str(tmp_path)).collect()} == want
-    got = {(r.doc_id, r.i): r.label for r in shaping._mask_brute(spark, str(tmp_path)).collect()}
-    assert got == {(d, i): x for d, w in want.items() for i, x in enumerate(w)}
 
 
 def test_bleu_of_equal_texts(spark):
