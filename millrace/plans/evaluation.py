@@ -58,7 +58,8 @@ _SCORED = f"{_QUESTIONS}, s AS (SELECT q, u % 4 AS question_type, substr(answer,
 
 
 def vqa_accuracy(spark, sf_dir: str) -> DataFrame:
-    scored = _questions(spark, sf_dir).withColumn("score", M.soft_accuracy(F.col("answer"), F.col("truths")))
+    plain = lambda t: T.plain_answer(T.clear_punctuation(t))
+    scored = _questions(spark, sf_dir).withColumn("score", M.soft_accuracy(plain(F.col("answer")), F.transform("truths", plain)))
     return M.by_every_grouping(scored, "score", "question_type", "answer_type")
 
 
