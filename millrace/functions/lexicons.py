@@ -236,3 +236,13 @@ NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3",
 ARTICLES = ("a", "an", "the")
 #: Punctuation that answers are cleared of, in this order.
 PUNCTUATION = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!")
+
+# Words whose stem for open-ended answers is given, since rules would miss it.
+STEMS = {
+    "police": "police", "las": "las", "vegas": "vegas", "yes": "yes", "jeans": "jean", "hell's": "hell", "domino's": "domino", "morning": "morn", "clothes": "cloth", "are": "are",
+    "riding": "ride", "leaves": "leaf", "dangerous": "danger", "clothing": "cloth", "texting": "text", "kiting": "kite", "firefighters": "firefight", "ties": "tie", "married": "married",
+    "teething": "teeth", "gloves": "glove", "tennis": "tennis", "dining": "dine", "directions": "direct", "waves": "wave", "christmas": "christmas", "drives": "drive", "pudding": "pud",
+    "coding": "code", "plating": "plate", "quantas": "quanta", "hornes": "horn", "graves": "grave", "mating": "mate", "paned": "pane", "alertness": "alert", "sunbathing": "sunbath",
+    "tenning": "ten", "wetness": "wet", "urinating": "urine", "sickness": "sick", "braves": "brave", "firefighting": "firefight", "lenses": "lens", "reflections": "reflect",
+    "controllers": "control", "weddings": "wed", "sometimes": "sometime", "earing": "ear",
+}

@@ -199,3 +199,39 @@ def has_phrase(words: Column, phrase: tuple[str, ...]) -> Column:
     low, n = F.transform(words, F.lower), len(phrase)
     want = F.array(*map(F.lit, phrase))
     return F.element_at(F.transform(F.array(low), lambda w: F.exists(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.slice(w, i, F.lit(n)) == want)), 1)
+
+
+#: (pattern, ending in its place), in the order tried, of a verb's form in -ing and of a plural. There is no lexicon and no
+#: tagger behind them, so they are approximate; words that no pattern fits stay.
+ING_RULES = (
+    (r"^([^aeiouy]*)ing$", "$1ing"),
+    (r"^(.*[aeiouy].*?)([bdgkmnprt])\2ing$", "$1$2"),
+    (r"^(.*[aeiouy].*(?:v|c|iz|[^aeiou]at|[^aeiou]l))ing$", "$1e"),
+    (r"^([^aeiouy]+[aeiouy][^aeiouywx])ing$", "$1e"),
+    (r"^(.*[aeiouy].*)ing$", "$1"),
+)
+PLURAL_RULES = (
+    (r"^(.*(?:ss|us|is)|.{1,2}s)$", "$1"),
+    (r"^(.+[^aeiou])ies$", "$1y"),
+    (r"^(.+(?:x|ch|ss|sh))es$", "$1"),
+    (r"^(.+)s$", "$1"),
+)
+
+
+def answer_stem(t: Column) -> Column:
+    """Words of an open-ended answer as stems: given ones, else a verb without -ing, else a noun without its plural."""
+    given = F.create_map(*[F.lit(x) for pair in L.STEMS.items() for x in pair])
+
+    def by_rules(w: Column, rules: tuple) -> Column:
+        out = w
+        for pattern, ending in reversed(rules):
+            out = F.when(w.rlike(pattern), F.regexp_replace(w, pattern, ending)).otherwise(out)
+        return out
+
+    stem = lambda w: F.coalesce(F.try_element_at(given, w), F.when(w.endswith("ing"), by_rules(w, ING_RULES)).when(w.endswith("s"), by_rules(w, PLURAL_RULES)).otherwise(w))
+    return F.array_join(F.transform(F.array_remove(F.split(t, r"\s+"), ""), stem), " ")
+
+
+def open_answer(t: Column) -> Column:
+    """The short answer of a generated text, in stems."""
+    return answer_stem(short_answer(t))

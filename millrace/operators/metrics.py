@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.sampling import summed_before
+
 
 def soft_accuracy(answer: Column, truths: Column) -> Column:
     """Mean over the truths of min(1, how many of the other truths equal the answer / 3), from the count of matches."""
@@ -83,11 +85,10 @@ def trial_summary(rows: DataFrame, group: str, score: str) -> DataFrame:
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Mann-Whitney statistic with halves for ties.
 
-    Rows are counted for each distinct score first; only those counts are put in order.
+    Rows are counted for each distinct score first; only those counts are put in order, by ranges of scores.
     """
     counts = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", 2 * F.col("pos") * below + F.col("pos") * F.col("neg"))
+    won = summed_before(counts, score, "neg", "below").withColumn("won", 2 * F.col("pos") * F.col("below") + F.col("pos") * F.col("neg"))
     total = won.agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return total.select(F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), F.round(F.try_divide(F.col("w"), 2 * F.col("p") * F.col("q")), 6).alias("auc"))
 
@@ -117,17 +118,26 @@ def sequence_length(texts: Column, images: Column, per_image: int = 576) -> Colu
     return F.when(images > 0, words + per_image * images).otherwise(-words)
 
 
-def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> DataFrame:
-    """Corpus BLEU with one reference: clipped n-gram counts, geometric mean and brevity penalty."""
-    rows = pairs.select(F.monotonically_increasing_id().alias("row"), *[F.array_remove(F.split(F.lower(c), r"\s+"), "").alias(k) for k, c in (("p", prediction), ("r", reference))])
+def lower_words(t: Column) -> Column:
+    return F.array_remove(F.split(F.lower(t), r"\s+"), "")
+
+
+def n_grams(words: Column, order: int) -> Column:
+    """(n, g) of every run of 1 to ``order`` words."""
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("g")))
+
+    return F.flatten(F.array(*map(of_length, range(1, order + 1))))
 
-    def grams(side: str) -> DataFrame:
-        def of_length(n: int) -> Column:
-            starts = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, F.lit(n)), " ").alias("g")))
 
-        every = F.flatten(F.array(*map(of_length, range(1, order + 1))))
-        return rows.select("row", F.explode(every).alias("x")).groupBy("row", "x.n", "x.g").agg(F.count(F.lit(1)).alias(f"c_{side}"))
+def bleu(pairs: DataFrame, key: str, prediction: str, reference: str, order: int = 4) -> DataFrame:
+    """Corpus BLEU with one reference: clipped n-gram counts, geometric mean and brevity penalty. ``key`` is one row's."""
+    rows = pairs.select(F.col(key).alias("row"), lower_words(F.col(prediction)).alias("p"), lower_words(F.col(reference)).alias("r"))
+
+    def grams(side: str) -> DataFrame:
+        return rows.select("row", F.explode(n_grams(F.col(side), order)).alias("x")).groupBy("row", "x.n", "x.g").agg(F.count(F.lit(1)).alias(f"c_{side}"))
 
     hit = grams("p").join(grams("r"), ["row", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("c_p", F.coalesce("c_r", F.lit(0)))).alias("hit"), F.sum("c_p").alias("all"))
     length = rows.agg(F.sum(F.size("p")).alias("lp"), F.sum(F.size("r")).alias("lr"))
@@ -136,6 +146,30 @@ def bleu(pairs: DataFrame, prediction: str, reference: str, order: int = 4) -> D
     return mean.join(length).select(F.round(F.when(F.col("orders") == order, F.coalesce(penalty * F.exp("m"), F.lit(0.0))).otherwise(0.0), 6).alias("bleu"))
 
 
+def cider(rows: DataFrame, key: str, candidate: str, references: str, order: int = 4, sigma: float = 6.0, words: Callable[[Column], Column] = lower_words) -> DataFrame:
+    """(key, cider) of each row's candidate against its array of references: TF-IDF cosines of n-grams with clipped counts
+    and a penalty for a difference in length, mean over references and n, times 10. Null without references.
+
+    A document of the inverse frequencies is a row's references together.
+    """
+    sides = F.concat(F.array(F.col(candidate)), F.coalesce(F.col(references), F.array().cast("array<string>")))
+    texts = rows.select(key, F.posexplode(sides).alias("side", "t")).select(key, "side", words(F.col("t")).alias("w"))
+    grams = texts.select(key, "side", F.greatest(F.size("w") - 1, F.lit(0)).alias("length"), F.explode(n_grams(F.col("w"), order)).alias("x"))
+    counts = grams.groupBy(key, "side", "length", "x.n", "x.g").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = counts.where("side > 0").select(key, "n", "g").distinct().groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(float(max(rows.count(), 1)))) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
+    weighed = counts.join(frequency, ["n", "g"], "left").select(key, "side", "length", "n", "g", (F.col("tf") * idf).alias("weight"))
+    norms = weighed.groupBy(key, "side", "n").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    ours = weighed.where("side = 0").select(key, "n", "g", F.col("length").alias("our_length"), F.col("weight").alias("our_weight"))
+    shared = ours.join(weighed.where("side > 0"), [key, "n", "g"]).groupBy(key, "n", "side", "our_length", "length").agg(F.sum(F.least("our_weight", "weight") * F.col("weight")).alias("dot"))
+    near = shared.join(norms.where("side > 0"), [key, "side", "n"]).join(norms.where("side = 0").select(key, "n", F.col("norm").alias("our_norm")), [key, "n"])
+    gap = F.col("our_length") - F.col("length")
+    cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("our_norm")), F.lit(0.0))
+    total = near.groupBy(key).agg(F.sum(cosine * F.exp(-gap * gap / (2 * sigma**2))).alias("total"))
+    sized = rows.select(key, F.coalesce(F.size(F.col(references)), F.lit(0)).alias("n"))
+    return sized.join(total, key, "left").select(key, F.when(F.col("n") > 0, F.round(10 * F.coalesce("total", F.lit(0.0)) / (order * F.col("n")), 6)).alias("cider"))
+
+
 def conditional_accuracy(answer: Column, truths: Column, normalise: Callable[[Column], Column]) -> Column:
     """Soft accuracy, of normalised texts if the truths differ among themselves."""
     differ = F.size(F.array_distinct(truths)) > 1

@@ -60,6 +60,23 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     return placed.withColumn("pos", F.col("_row") + shift).drop("_part", "_row")
 
 
+def summed_before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Rows with the sum of a whole-number ``value`` over all rows before them, for an ``order`` without ties.
+
+    As in ``numbered``, sums are made within ranges and shifted by the totals of the ranges before.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pinned(rows.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    ahead, before = 0, [0] * n
+    totals = dict(placed.groupBy("_part").agg(F.sum(value)).collect())
+    for p in range(n):
+        before[p] = ahead
+        ahead += totals.get(p) or 0
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_part") + 1)
+    return placed.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)) + shift).drop("_part")
+
+
 def round_robin(rows: DataFrame, order: str, ranks: int) -> DataFrame:
     return numbered(rows, order).withColumn("rank", F.pmod("pos", F.lit(ranks)).cast("int"))
 

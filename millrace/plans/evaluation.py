@@ -192,6 +192,12 @@ def zip_positions(spark, sf_dir: str) -> DataFrame:
     return J.zip_positions(left, right, "doc_id", "item_id").select("doc_id", "toxic", "item_id")
 
 
+def bleu(spark, sf_dir: str) -> DataFrame:
+    """Every turn against itself with its sentences run together."""
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text", F.replace("text", F.lit(". "), F.lit(" the ")).alias("r"))
+    return M.bleu(rows, "k", "text", "r")
+
+
 def queries() -> dict:
     return {
         "c02_strip": _turns(T.strip_special),
@@ -209,7 +215,7 @@ def queries() -> dict:
         "c26_yes_no": _turns(T.yes_no),
         "m01_vqa_acc": vqa_accuracy, "m03_textvqa_soft": textvqa_soft, "m05_anls": anls, "m08_pope": pope, "m12_mmlu_rollup": rollup, "m13_capability": capabilities,
         "m14_judge_summary": judge, "m15_trials": trials, "m17_auc": auc, "m18_topk_conf": top_classes, "m21_mode": mode, "m26_lengths": lengths,
-        "m06_bleu": lambda s, d: M.bleu(_table(s, d, "part").withColumn("r", F.concat("p_name", F.lit(" "), "p_type")), "p_name", "r"),
+        "m06_bleu": bleu,
         "j01_pred_ann": pred_ann, "j03_positional": zip_positions, "j04_composite_key": composite, "j05_left_default": left_default, "j06_two_source": two_sources, "j08_rule_default": rule_default,
         "j10_knn_topk": knn, "j11_self_knn": self_knn, "j13_fill_missing": missing, "j15_shard_range": shard_ranges,
     }
@@ -235,6 +241,13 @@ def oracles() -> dict:
         "c26_yes_no": _turns_sql("CASE WHEN list_has_any(string_split(replace(string_split(text, '.')[1], ',', ''), ' '), ['No', 'not', 'no']) THEN 'no' ELSE 'yes' END"),
         "m01_vqa_acc": f"WITH {_SCORED}, g AS (SELECT 'overall' AS level, '' AS key, score FROM s UNION ALL SELECT 'question_type', CAST(question_type AS VARCHAR), score FROM s UNION ALL SELECT 'answer_type', answer_type, score FROM s) SELECT level, key, count(*) AS n, round(100 * avg(score), 2) AS accuracy FROM g GROUP BY ALL",
         "m03_textvqa_soft": f"WITH {_SCORED} SELECT q, round(score, 6) AS score FROM s",
+        "m06_bleu": r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS p, list_filter(regexp_split_to_array(lower(replace(text, '. ', ' the ')), '\s+'), lambda x: x <> '') AS r FROM conversations),
+          o AS (SELECT unnest(range(1, 5)) AS n),
+          gp AS (SELECT conv_id, turn, n, array_to_string(p[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT conv_id, turn, n, p, unnest(range(1, len(p) - n + 2)) AS i FROM w, o) GROUP BY ALL),
+          gr AS (SELECT conv_id, turn, n, array_to_string(r[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT conv_id, turn, n, r, unnest(range(1, len(r) - n + 2)) AS i FROM w, o) GROUP BY ALL),
+          h AS (SELECT n, sum(least(gp.c, coalesce(gr.c, 0))) AS hit, sum(gp.c) AS every FROM gp LEFT JOIN gr USING (conv_id, turn, n, g) GROUP BY n),
+          l AS (SELECT sum(len(p)) AS lp, sum(len(r)) AS lr FROM w)
+          SELECT round(CASE WHEN count(*) = 4 THEN CASE WHEN lp > lr THEN 1.0 ELSE exp(1 - lr / lp) END * exp(avg(ln(hit / every))) ELSE 0.0 END, 6) AS bleu FROM h, l GROUP BY lp, lr""",
         "m05_anls": f"SELECT p_partkey, round(CASE WHEN best >= 0.5 THEN best ELSE 0.0 END, 6) AS anls FROM (SELECT p_partkey, greatest({', '.join(_SIM.format(b=b) for b in ('t1', 't2', 't3'))}) AS best FROM (SELECT p_partkey, lower(trim(p_name)) AS a, lower(trim(p_type)) AS t1, lower(trim(p_brand)) AS t2, lower(trim(p_name || ' x')) AS t3 FROM part))",
         "m08_pope": "WITH x AS (SELECT lang, toxic = 1 AS y, length(text) % 3 = 0 AS p FROM documents JOIN labels USING (doc_id)), n AS (SELECT lang, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (NOT y AND NOT p) AS tn, count(*) FILTER (y AND NOT p) AS fn FROM x GROUP BY lang) SELECT *, round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + fp) / nullif(tp + fp + tn + fn, 0), 6) AS yes_ratio FROM n",
         "m12_mmlu_rollup": "SELECT n_regionkey, n_nationkey, count(*) AS n, round(count(*) FILTER (s_acctbal > 0) / count(*), 6) AS accuracy FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)",

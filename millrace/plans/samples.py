@@ -9,9 +9,11 @@ from millrace.functions import text as T
 from millrace.operators import arrange as A
 from millrace.operators import joins as J
 from millrace.operators import metrics as M
+from millrace.operators import prompts as Q
 from millrace.operators import samples as X
 from millrace.plans.evaluation import _PLAIN, _punctuation_sql
 from millrace.plans.shaping import _TURNS, _lines, _md5, _table, _turns
+from millrace.sources import readers as R
 
 
 def _long(*names: str) -> list:
@@ -290,12 +292,42 @@ def worker_names(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").where("user_id < 100").select("event_type").distinct()
 
 
+def cider(spark, sf_dir: str) -> DataFrame:
+    """The first turn of a conversation against all others."""
+    rows = _turns(spark, sf_dir).select("conv_id", F.col("turns")[0]["text"].alias("c"), F.transform(F.slice("turns", 2, 1 << 30), lambda t: t["text"]).alias("rs"))
+    return M.cider(rows, "conv_id", "c", "rs")
+
+
+_STYLED = ("add_colon_two", "llama2", "chatglm", "chatml", "dolly", "mpt")
+
+
+def styles(spark, sf_dir: str) -> DataFrame:
+    """Conversations without the last answer, in six styles."""
+    turns = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 < F.size("turns"), t["text"]).alias("text")))
+    rows = _turns(spark, sf_dir).select("conv_id", turns.alias("turns"))
+    of = lambda s: Q.Template(s, s, ("[Q]", "[A]"), "|", "^", "Be brief.", "<{system_message}>", first_round=1)
+    return rows.select("conv_id", *[F.md5(Q.prompt(F.col("turns"), of(s)).cast("binary")).alias(s) for s in _STYLED])
+
+
+def few_shot(spark, sf_dir: str) -> DataFrame:
+    """Up to two pairs of a conversation as examples of the question that its last turn is."""
+    rows = _turns(spark, sf_dir).select("conv_id", F.element_at("turns", -1)["text"].alias("q"), A.conversation_pairs(F.col("turns")).alias("p"))
+    demos = F.transform(F.slice("p", 1, 2), lambda x, i: F.struct(x["question"].alias("question"), x["answer"].alias("answer"), (i + 1).alias("patches")))
+    rounds = Q.few_shot_turns(demos, F.col("q"), F.lit(3), "Short:", ("U\n", "B\n"), per_patch=2)
+    chat = Q.prompt(rounds, Q.Template("few", "internlm2_chat", sep="<e>", sep2="<f>"))
+    direct = Q.one_turn(demos, F.col("q"), F.lit(3), "Short:", per_patch=2, direct=True)
+    caption = Q.one_turn(demos, F.col("q"), F.lit(3), "", task=Q.CAPTION, per_patch=2)
+    return rows.select("conv_id", *[F.md5(x.cast("binary")).alias(n) for n, x in (("chat", chat), ("direct", direct), ("caption", caption))])
+
+
 def queries() -> dict:
     return {
         "p01_valid_samples": valid, "p02_first_of": alternatives, "p03_large_enough": large, "p06_pick": picked, "p07_unwrap": unwrapped,
         "p08_split": lambda s, d: X.of_split(_table(s, d, "documents"), "en", "lang").select("doc_id"),
         "p09_task_prompt": task, "p13_human_first": human_first, "p14_selectors": selectors, "p15_category": category, "p16_ignore": ignored, "p17_answers": answers, "p18_rejects": rejects,
         "a01_interleaved": interleave, "a02_softmax": soft, "a05_plain_natural": plain_natural, "a08_padding": padding, "a10_image_ids": with_image_ids, "a12_caption_mask": caption_mask,
+        "a15_chat_styles": styles, "a17_few_shot_chat": few_shot, "m07_cider": cider, "c17_answer_stem": _turn(T.open_answer),
+        "s28_page_documents": lambda s, d: R.page_documents(_table(s, d, "pages"), "page_id").select("page_id", "document.*"),
         "a13_turn_mask": turn_mask, "a18_shots": shots, "a20_geometry": geometry,
         "j02_strict": strict, "j07_chain": chain, "j09_by_place": by_place, "j12_neighbour_samples": neighbour_samples, "j14_files_by_digest": files_by_digest, "j16_two_streams": two_streams,
         "m02_conditional": conditional, "m04_contained": contained, "m09_science": science, "m11_three_sources": three_sources,
@@ -308,6 +340,54 @@ def queries() -> dict:
     }
 
 
+# Turns joined to one text; ``l`` is how the turn ``t`` at place ``i`` (from 1) is written, the last one without its text.
+_WRITTEN = "array_to_string(list_transform(turns, lambda t, i: {l}), '')"
+_SAID = "CASE WHEN i < len(turns) AND t.text <> '' THEN {said} ELSE {asked} END"
+_CLOSE = "CASE WHEN i % 2 = 1 THEN '|' ELSE '^' END"
+
+
+def _styles_sql() -> str:
+    place = "CASE WHEN i % 2 = 1 THEN '[Q]' ELSE '[A]' END"
+    ends = {
+        "add_colon_two": ("'<Be brief.>|'", f"t.role || ': ' || t.text || {_CLOSE}", "t.role || ':'"),
+        "llama2": ("'<Be brief.>'", f"CASE WHEN i = 1 THEN t.text || ' ' ELSE {place} || ' ' || t.text || {_CLOSE} END", place),
+        "chatglm": ("'<Be brief.>|'", "CASE WHEN i % 2 = 1 THEN '[Round ' || (i // 2 + 1) || ']|' ELSE '' END || t.role || '：' || t.text || '|'", "CASE WHEN i % 2 = 1 THEN '[Round ' || (i // 2 + 1) || ']|' ELSE '' END || t.role || '：'"),
+        "chatml": ("'<Be brief.>|' || chr(10)", "t.role || chr(10) || t.text || '|' || chr(10)", "t.role || chr(10)"),
+        "dolly": ("'<Be brief.>'", "t.role || ':' || chr(10) || t.text || CASE WHEN i % 2 = 1 THEN '|' ELSE '^' || chr(10) || chr(10) END", "t.role || ':' || chr(10)"),
+        "mpt": ("'<Be brief.>|'", "t.role || t.text || '|'", "t.role"),
+    }
+    out = [f"md5({head} || {_WRITTEN.format(l=_SAID.format(said=said, asked=asked))}) AS {name}" for name, (head, said, asked) in ends.items()]
+    return f"WITH {_TURNS} SELECT conv_id, {', '.join(out)} FROM t"
+
+
+def _few_shot_sql() -> str:
+    image = lambda n: f"'<img>' || repeat('<IMG_CONTEXT>', CAST(2 * {n} AS BIGINT)) || '</img>' || chr(10)"
+    shots = lambda form: f"coalesce(string_agg({form}, '' ORDER BY i) FILTER (i < 2), '')"
+    agg = ", ".join([
+        shots(f"'U' || chr(10) || {image('(i + 1)')} || question || chr(10) || 'Short:<e>B' || chr(10) || answer || '<f>'") + " AS rounds",
+        shots(f"'Example ' || (i + 1) || ':' || chr(10) || {image('(i + 1)')} || 'Question: ' || question || chr(10) || 'Answer: ' || answer || chr(10)") + " AS direct",
+        shots(f"'Example ' || (i + 1) || ':' || chr(10) || {image('(i + 1)')} || 'Caption: ' || trim(answer, ' ') || chr(10)") + " AS caption",
+    ])
+    some = lambda column, head: f"CASE WHEN {column} = '' THEN '' ELSE '{head}' || chr(10) || {column} || 'Refer to these examples to perform the following task:' || chr(10) END"
+    return f"""WITH {_TURNS}, p AS (SELECT conv_id, unnest(range(0, len(turns) // 2)) AS i, turns FROM t), q AS (SELECT conv_id, i, turns[2 * i + 1].text AS question, turns[2 * i + 2].text AS answer FROM p),
+      s AS (SELECT conv_id, {agg} FROM q GROUP BY conv_id), x AS (SELECT conv_id, turns[-1].text AS q, coalesce(rounds, '') AS rounds, coalesce(direct, '') AS direct, coalesce(caption, '') AS caption FROM t LEFT JOIN s USING (conv_id))
+      SELECT conv_id, md5(rounds || 'U' || chr(10) || {image(3)} || q || chr(10) || 'Short:<e>B' || chr(10)) AS chat,
+        md5({some('direct', 'Here is a collation of question and answer examples:')} || {image(3)} || 'Question: ' || q || chr(10) || 'Short:Answer: ') AS direct,
+        md5({some('caption', 'Here are some caption examples:')} || {image(3)} || 'Provide a one-sentence caption for the provided image.') AS caption FROM x"""
+
+
+_CIDER = rf"""WITH {_TURNS}, s AS (SELECT conv_id, unnest(range(0, len(turns))) AS side, unnest(turns).text AS t FROM t),
+  w AS (SELECT conv_id, side, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM s), o AS (SELECT unnest(range(1, 5)) AS n),
+  g AS (SELECT conv_id, side, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS tf FROM (SELECT conv_id, side, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, o) GROUP BY ALL),
+  d AS (SELECT n, g, count(DISTINCT conv_id) AS df FROM g WHERE side > 0 GROUP BY ALL),
+  v AS (SELECT conv_id, side, n, g, tf * (ln((SELECT count(*) FROM t)) - ln(coalesce(df, 1))) AS v FROM g LEFT JOIN d USING (n, g)),
+  norm AS (SELECT conv_id, side, n, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL), l AS (SELECT conv_id, side, greatest(len(w) - 1, 0) AS l FROM w),
+  dot AS (SELECT c.conv_id, r.side, n, sum(least(c.v, r.v) * r.v) AS dot FROM v c JOIN v r USING (conv_id, n, g) WHERE c.side = 0 AND r.side > 0 GROUP BY ALL),
+  x AS (SELECT dot.conv_id, sum(CASE WHEN a.norm * b.norm = 0 THEN 0 ELSE dot / (a.norm * b.norm) END * exp(-(la.l - lb.l) * (la.l - lb.l) / 72.0)) AS x FROM dot JOIN norm a ON (a.conv_id = dot.conv_id AND a.n = dot.n AND a.side = 0) JOIN norm b ON (b.conv_id = dot.conv_id AND b.n = dot.n AND b.side = dot.side)
+    JOIN l la ON (la.conv_id = dot.conv_id AND la.side = 0) JOIN l lb ON (lb.conv_id = dot.conv_id AND lb.side = dot.side) GROUP BY dot.conv_id)
+  SELECT conv_id, CASE WHEN len(turns) > 1 THEN round(10 * coalesce(x, 0) / (4 * (len(turns) - 1)), 6) END AS cider FROM t LEFT JOIN x USING (conv_id)"""
+
+
 def oracles() -> dict:
     norm = lambda t: _PLAIN.replace("lower(text)", f"lower({_punctuation_sql(t)})")
     simple = lambda t: f"trim(translate(trim(replace(replace(replace(lower({t}), ',', ''), '?', ''), '''s', ' ''s')), chr(10) || chr(9), '  '))"
@@ -329,6 +409,9 @@ def oracles() -> dict:
         "p16_ignore": "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1",
         "p17_answers": "WITH g AS (SELECT event_id // 10 AS q, min(event_id) AS f FROM events GROUP BY 1), e AS (SELECT event_id // 10 AS q, event_id, event_type FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT q, event_id, event_type FROM g JOIN events ON event_id = f WHERE q NOT IN (SELECT event_id // 10 FROM events WHERE event_id % 3 <> 0)), c AS (SELECT q, event_type, count(*) AS n, min(event_id) AS a FROM e GROUP BY ALL), m AS (SELECT q, arg_min(event_type, (-n, a)) AS most FROM c GROUP BY q), f AS (SELECT q, arg_min(event_type, event_id) AS first FROM e GROUP BY q) SELECT q, upper(most[1]) || most[2:] AS most, upper(first[1]) || first[2:] AS first FROM m JOIN f USING (q)",
         "p18_rejects": "SELECT CASE WHEN TRY_CAST(nullif(regexp_extract(props, '[0-9][0-9a-z]*'), '') AS BIGINT) IS NULL THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1",
+        "a15_chat_styles": _styles_sql(),
+        "a17_few_shot_chat": _few_shot_sql(),
+        "m07_cider": _CIDER,
         "a02_softmax": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS p FROM v) SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top, round(list_sum(p) / list_sum(p), 6) AS total FROM p",
         "a05_plain_natural": f"WITH {lines} SELECT doc_id, md5(replace(replace({tight}, '<image><image>', '<image> <image>'), '<image><image>', '<image> <image>')) AS digest FROM j",
         "a08_padding": f"WITH {_TURNS} SELECT conv_id, array_to_string(list_concat(list_transform(turns, lambda t: t.role), ['-', '-', '-', '-', '-'])[1:5], ',') AS roles FROM t",

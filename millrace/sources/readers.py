@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html.parser
 import io
 import json
+import signal
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -136,6 +140,10 @@ def main_body(text: str | None, least: int = 20, most_links: float = 0.5) -> str
     parser = _Body()
     parser.feed(text or "")
     parser.close()
+    return body_of(parser, least, most_links)
+
+
+def body_of(parser: _Body, least: int = 20, most_links: float = 0.5) -> str:
     blocks = ((" ".join(t.split()), n) for t, n in parser.blocks)
     return "\n".join(t for t, n in blocks if len(t) >= least and n <= most_links * len(t))
 
@@ -152,6 +160,99 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.mapInArrow(run, f"{schema}, body string")
 
 
+#: Media elements and the attribute that names their file.
+MEDIA = {"img": "src", "video": "src", "audio": "src", "source": "src", "iframe": "src"}
+
+
+class _Document(_Body):
+    """A page's title and media beside its blocks."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.title, self.in_title, self.media = "", False, []
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        super().handle_starttag(tag, attrs)
+        self.in_title = self.in_title or tag == "title"
+        name = dict(attrs).get(MEDIA.get(tag, ""))
+        if name and not self.skip:
+            self.media.append(name)
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        self.in_title = self.in_title and tag != "title"
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        self.title += data if self.in_title else ""
+
+
+class _Late(Exception):
+    """Raised by the alarm of ``within``."""
+
+
+@contextmanager
+def within(seconds: float) -> Iterator[None]:
+    """Stop the body after so many seconds. Alarms reach the main thread only; elsewhere the body runs without a limit."""
+
+    def late(_signal, _frame) -> None:
+        raise _Late
+
+    try:
+        before = signal.signal(signal.SIGALRM, late)
+    except (ValueError, AttributeError):
+        yield
+        return
+    try:
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def page_document(page: str | None, record: str | None, base: str | None = None, seconds: float = 30.0, **options) -> dict | None:
+    """A page as (id, title, text, media, fingerprint); None without a page, without text or after ``seconds``.
+
+    Media are absolute against ``base``. The fingerprint is a digest of title and text with a space between them.
+    """
+    if not page:
+        return None
+    try:
+        with within(seconds):
+            parser = _Document()
+            parser.feed(page)
+            parser.close()
+            text, title = body_of(parser, **options), " ".join(parser.title.split())
+            media = [urljoin(base or "", m) for m in dict.fromkeys(parser.media)]
+    except _Late:
+        return None
+    if not text and not media:
+        return None
+    return {"id": record, "title": title, "text": text, "media": media, "fingerprint": hashlib.sha256(f"{title} {text}".encode(errors="replace")).hexdigest()}
+
+
+#: Settings of ``main_body`` by type of page: posts of a forum are shorter, and are full of links to their writers.
+PAGE_TYPES = {"article": {}, "forum": {"least": 5, "most_links": 0.8}, "weixin": {"least": 1}}
+
+
+def page_documents(pages: DataFrame, key: str, column: str = "html", url: str = "url", kind: str = "article", seconds: float = 30.0) -> DataFrame:
+    """(key, document) of each page, null where it took too long or held nothing. A page that fails costs its own row only."""
+    options = PAGE_TYPES[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = pa.struct([("id", pa.string()), ("title", pa.string()), ("text", pa.string()), ("media", pa.list_(pa.string())), ("fingerprint", pa.string())])
+        for batch in batches:
+            keys, found, urls = (batch.column(n).to_pylist() for n in ("key", "page", "url"))
+            done = [page_document(p, None if k is None else str(k), u, seconds, **options) for k, p, u in zip(keys, found, urls, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(done, form)], ["key", "document"])
+
+    kinds = dict(pages.dtypes)
+    rows = pages.select(F.col(key).alias("key"), F.col(column).alias("page"), F.col(url).alias("url"))
+    made = rows.mapInArrow(run, f"key {kinds[key]}, document struct<id string, title string, text string, media array<string>, fingerprint string>")
+    return made.withColumnRenamed("key", key)
+
+
 def text_with_retry(spark: SparkSession, path: str, tries: int = 10, pause: float = 1.0) -> DataFrame:
     """Lines of more than two characters with their file, listing the files again if the store fails meanwhile.
 

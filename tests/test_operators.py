@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
 import json
+import math
 import re
 import tarfile
 import zipfile
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import arrange, joins, metrics, paragraphs, sampling
+from millrace.operators import arrange, joins, metrics, paragraphs, prompts, sampling
 from millrace.plans import evaluation, shaping
 from millrace.plans import paragraphs as plans
 from millrace.sources import readers
@@ -102,9 +105,86 @@ def test_labels_over_the_whole_length(spark, tmp_path):
     assert {r.doc_id: [int(x) for x in r.labels.split(",")] for r in shaping.label_mask(spark, str(tmp_path)).collect()} == want
 
 
-def test_bleu_of_equal_texts(spark):
-    rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat")], "p string, r string")
-    assert metrics.bleu(rows, "p", "r").first().bleu == 1.0
+def test_bleu(spark):
+    rows = spark.createDataFrame([(1, "the cat sat on the mat", "the cat sat on the mat")], "k long, p string, r string")
+    assert metrics.bleu(rows, "k", "p", "r").first().bleu == 1.0
+    # 5 of 6 words, 3 of 5 pairs, 2 of 4 triples and 1 of 3 fours are right, and both sides are six words long
+    rows = spark.createDataFrame([(1, "the cat sat on a mat", "the cat sat on the mat")], "k long, p string, r string")
+    assert metrics.bleu(rows, "k", "p", "r").first().bleu == pytest.approx((5 / 6 * 3 / 5 * 2 / 4 * 1 / 3) ** 0.25, abs=1e-6)
+
+
+def test_cider_against_plain_version(spark):
+    rows = [(1, "a cat sits", ["a cat sits here", "the cat"]), (2, "a dog runs fast", ["a dog runs fast"]), (3, "nothing alike", ["something else entirely"]), (4, "x", []), (5, None, ["a b"]), (6, "a b", None)]
+    got = {r.k: r.cider for r in metrics.cider(spark.createDataFrame(rows, "k long, c string, rs array<string>"), "k", "c", "rs").collect()}
+    grams = lambda t: Counter((n, tuple(t.split()[i : i + n])) for n in range(1, 5) for i in range(len(t.split()) - n + 1))
+    df = Counter(g for _, _, rs in rows for g in {g for r in rs or [] for g in grams(r)})
+
+    def vector(t: str, n: int) -> dict:
+        return {g: c * (math.log(len(rows)) - math.log(max(1, df[g]))) for g, c in grams(t).items() if g[0] == n}
+
+    for k, c, rs in rows:
+        if not rs:
+            assert got[k] is None
+            continue
+        total = 0.0
+        for r in rs:
+            gap = max(len((c or "").split()) - 1, 0) - max(len(r.split()) - 1, 0)
+            for n in range(1, 5):
+                a, b = vector(c or "", n), vector(r, n)
+                norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+                total += sum(min(a[g], b[g]) * b[g] for g in a.keys() & b.keys()) / norm * math.exp(-gap * gap / 72) if norm else 0.0
+        assert got[k] == pytest.approx(10 * total / 4 / len(rs), abs=1e-5)
+
+
+def test_prompts_of_every_style(spark):
+    rows = spark.createDataFrame([([("U", "one\n\ntwo"), ("B", "yes"), ("U", "and"), ("B", None)],)], "t array<struct<role string, text string>>")
+    make = lambda style, message="m": rows.select(prompts.prompt(F.col("t"), prompts.Template(style, style, ("P", "R"), "|", "^", message, "<{system_message}>"))).first()[0]
+    one = "one\n\ntwo"
+    want = {
+        "add_colon_single": f"<m>|U: {one}|B: yes|U: and|B:", "add_colon_two": f"<m>|U: {one}|B: yes^U: and|B:", "add_colon_space_single": f"<m>|U: {one}|B: yes|U: and|B: ",
+        "no_colon_single": f"<m>U{one}|Byes|Uand|B", "no_colon_two": f"<m>U{one}|Byes^Uand|B", "add_new_line_single": f"<m>|U\n{one}|B\nyes|U\nand|B\n",
+        "llama2": f"<m>{one} R yes^P and|R", "chatglm": f"<m>|[Round 0]|U：{one}|B：yes|[Round 1]|U：and|B：", "chatml": f"<m>|\nU\n{one}|\nB\nyes|\nU\nand|\nB\n",
+        "chatintern": f"<m>U:{one}|\nB:yes^\nU:and|\nB:", "dolly": f"<m>U:\n{one}|B:\nyes^\n\nU:\nand|B:\n", "rwkv": "<m>U: one\ntwo\n\nB: yes\n\nU: and\n\nB:",
+        "phoenix": f"<m>U: <s>{one}</s>B: <s>yes</s>U: <s>and</s>B: <s>", "robin": f"<m>|U:\n{one}|B:\nyes|U:\nand|B:\n", "falcon_chat": f"<m>|U: {one}|B: yes|U: and|B:",
+        "chatglm3": f"<m>U\n {one}B\n yesU\n andB", "husky": f"m|U: {one}|B: yes^U: and|B:", "husky_n": f"m|U: \n{one}|B: \nyes^U: \nand|B: \n",
+        "internlm2_chat": f"mU{one}|Byes^Uand|B", "mpt": f"<m>|U{one}|Byes|Uand|B",
+    }
+    assert set(want) == set(prompts.STYLES)
+    for style, text in want.items():
+        assert make(style) == text, style
+    assert make("falcon_chat", "").startswith("U: ") and make("chatglm3", "").startswith("U\n") and make("llama2", "").startswith("[INST] one")
+
+
+def test_templates_are_registered_once():
+    prompts.register(prompts.Template("own", "mpt"), override=True)
+    with pytest.raises(ValueError, match="registered"):
+        prompts.register(prompts.Template("own", "robin"))
+    assert prompts.template("own", "hello").message == "hello" and prompts.template("own").message == ""
+    with pytest.raises(ValueError, match="no style"):
+        prompts.Template("x", "y")
+
+
+def test_few_shot_without_images(spark):
+    rows = spark.createDataFrame([([("q1", " a1 ", 1)], "q", 1)], "d array<struct<question string, answer string, patches int>>, q string, n int")
+    args = F.col("d"), F.col("q"), F.col("n"), "Short:"
+    turns = rows.select(prompts.few_shot_turns(*args, ("U", "B"), per_patch=1, images=False)).first()[0]
+    assert [(t.role, t.text) for t in turns] == [("U", "q1\nShort:"), ("B", " a1 "), ("U", "<img><IMG_CONTEXT></img>\nq\nShort:"), ("B", None)]
+    turns = rows.select(prompts.few_shot_turns(*args, ("U", "B"), style="single", task=prompts.CAPTION, per_patch=1, images=False)).first()[0]
+    assert turns[0].text == f"Here are some caption examples:\nExample 1:\nCaption: a1\n{prompts.REFER}<img><IMG_CONTEXT></img>\n{prompts.ASK_CAPTION}" and turns[1].text is None
+
+
+def test_answer_stems(spark):
+    words = {"riding a bikes": "ride a bike", "running": "run", "making": "make", "eating": "eat", "king": "king", "string": "string", "ladies": "lady", "boxes": "box", "glass": "glass", "bus": "bus", "police": "police", "surfing, and": "surf"}
+    rows = spark.createDataFrame(list(words.items()), "t string, want string").select("t", "want", T.open_answer(F.col("t")).alias("got")).collect()
+    assert {r.t: r.got for r in rows} == {r.t: r.want for r in rows}
+
+
+def test_auc_of_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(bool(rng.random() < 0.4), float(rng.integers(0, 60))) for _ in range(400)]
+    got = metrics.roc_auc(spark.createDataFrame(rows, "y boolean, s double"), "y", "s").first()
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    assert got.auc == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg), abs=1e-6)
 
 
 def test_top_k_against_brute_force(spark):
@@ -156,6 +236,20 @@ def test_main_body():
     assert readers.main_body(None) == ""
 
 
+def test_page_documents(spark):
+    page = "<html><head><title>The  title</title></head><body><p>This paragraph is long enough to stay.</p><img src='/a.png'><nav><img src='n.png'></nav></body></html>"
+    rows = spark.createDataFrame([(1, page, "http://x.org/b/"), (2, None, None), (3, "<p></p>", None)], "page_id long, html string, url string")
+    got = {r.page_id: r.document for r in readers.page_documents(rows, "page_id").collect()}
+    text = "This paragraph is long enough to stay."
+    assert got[2] is None and got[3] is None
+    assert got[1].asDict() == {"id": "1", "title": "The title", "text": text, "media": ["http://x.org/a.png"], "fingerprint": hashlib.sha256(f"The title {text}".encode()).hexdigest()}
+
+
+def test_page_that_takes_too_long():
+    assert readers.page_document("<p>word " * 200_000, "1", seconds=0.001) is None
+    assert readers.page_document("<p>a paragraph long enough to stay</p>", "1")["text"] == "a paragraph long enough to stay"
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
