@@ -343,14 +343,14 @@ def queries() -> dict:
 # Turns joined to one text; ``l`` is how the turn ``t`` at place ``i`` (from 1) is written, the last one without its text.
 _WRITTEN = "array_to_string(list_transform(turns, lambda t, i: {l}), '')"
 _SAID = "CASE WHEN i < len(turns) AND t.text <> '' THEN {said} ELSE {asked} END"
-_CLOSE = "CASE WHEN i % 2 = 1 THEN '|' ELSE '^' END"
+_TURN_END = "CASE WHEN i % 2 = 1 THEN '|' ELSE '^' END"
 
 
 def _styles_sql() -> str:
     place = "CASE WHEN i % 2 = 1 THEN '[Q]' ELSE '[A]' END"
     ends = {
-        "add_colon_two": ("'<Be brief.>|'", f"t.role || ': ' || t.text || {_CLOSE}", "t.role || ':'"),
-        "llama2": ("'<Be brief.>'", f"CASE WHEN i = 1 THEN t.text || ' ' ELSE {place} || ' ' || t.text || {_CLOSE} END", place),
+        "add_colon_two": ("'<Be brief.>|'", f"t.role || ': ' || t.text || {_TURN_END}", "t.role || ':'"),
+        "llama2": ("'<Be brief.>'", f"CASE WHEN i = 1 THEN t.text || ' ' ELSE {place} || ' ' || t.text || {_TURN_END} END", place),
         "chatglm": ("'<Be brief.>|'", "CASE WHEN i % 2 = 1 THEN '[Round ' || (i // 2 + 1) || ']|' ELSE '' END || t.role || '：' || t.text || '|'", "CASE WHEN i % 2 = 1 THEN '[Round ' || (i // 2 + 1) || ']|' ELSE '' END || t.role || '：'"),
         "chatml": ("'<Be brief.>|' || chr(10)", "t.role || chr(10) || t.text || '|' || chr(10)", "t.role || chr(10)"),
         "dolly": ("'<Be brief.>'", "t.role || ':' || chr(10) || t.text || CASE WHEN i % 2 = 1 THEN '|' ELSE '^' || chr(10) || chr(10) END", "t.role || ':' || chr(10)"),
