@@ -293,9 +293,11 @@ def worker_names(spark, sf_dir: str) -> DataFrame:
 
 
 def cider(spark, sf_dir: str) -> DataFrame:
-    """The first turn of a conversation against all others."""
-    rows = _turns(spark, sf_dir).select("conv_id", F.col("turns")[0]["text"].alias("c"), F.transform(F.slice("turns", 2, 1 << 30), lambda t: t["text"]).alias("rs"))
-    return M.cider(rows, "conv_id", "c", "rs")
+    """The first turn of a conversation against itself with its sentences run together, and against all other turns."""
+    first = F.col("turns")[0]["text"]
+    references = F.concat(F.array(F.replace(first, F.lit(". "), F.lit(" the "))), F.transform(F.slice("turns", 2, 1 << 30), lambda t: t["text"]))
+    scores = M.cider(_turns(spark, sf_dir).select("conv_id", first.alias("c"), references.alias("rs")), "conv_id", "c", "rs")
+    return scores.select("conv_id", F.round("cider", 4).alias("cider"))
 
 
 _STYLED = ("add_colon_two", "llama2", "chatglm", "chatml", "dolly", "mpt")
@@ -376,7 +378,7 @@ def _few_shot_sql() -> str:
         md5({some('caption', 'Here are some caption examples:')} || {image(3)} || 'Provide a one-sentence caption for the provided image.') AS caption FROM x"""
 
 
-_CIDER = rf"""WITH {_TURNS}, s AS (SELECT conv_id, unnest(range(0, len(turns))) AS side, unnest(turns).text AS t FROM t),
+_CIDER = rf"""WITH {_TURNS}, s AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS side, unnest(list_concat([turns[1].text, replace(turns[1].text, '. ', ' the ')], list_transform(turns[2:], lambda x: x.text))) AS t FROM t),
   w AS (SELECT conv_id, side, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM s), o AS (SELECT unnest(range(1, 5)) AS n),
   g AS (SELECT conv_id, side, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS tf FROM (SELECT conv_id, side, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, o) GROUP BY ALL),
   d AS (SELECT n, g, count(DISTINCT conv_id) AS df FROM g WHERE side > 0 GROUP BY ALL),
@@ -385,7 +387,7 @@ _CIDER = rf"""WITH {_TURNS}, s AS (SELECT conv_id, unnest(range(0, len(turns)))
   dot AS (SELECT c.conv_id, r.side, n, sum(least(c.v, r.v) * r.v) AS dot FROM v c JOIN v r USING (conv_id, n, g) WHERE c.side = 0 AND r.side > 0 GROUP BY ALL),
   x AS (SELECT dot.conv_id, sum(CASE WHEN a.norm * b.norm = 0 THEN 0 ELSE dot / (a.norm * b.norm) END * exp(-(la.l - lb.l) * (la.l - lb.l) / 72.0)) AS x FROM dot JOIN norm a ON (a.conv_id = dot.conv_id AND a.n = dot.n AND a.side = 0) JOIN norm b ON (b.conv_id = dot.conv_id AND b.n = dot.n AND b.side = dot.side)
     JOIN l la ON (la.conv_id = dot.conv_id AND la.side = 0) JOIN l lb ON (lb.conv_id = dot.conv_id AND lb.side = dot.side) GROUP BY dot.conv_id)
-  SELECT conv_id, CASE WHEN len(turns) > 1 THEN round(10 * coalesce(x, 0) / (4 * (len(turns) - 1)), 6) END AS cider FROM t LEFT JOIN x USING (conv_id)"""
+  SELECT conv_id, round(10 * coalesce(x, 0) / (4 * len(turns)), 4) AS cider FROM t LEFT JOIN x USING (conv_id)"""
 
 
 def oracles() -> dict:
