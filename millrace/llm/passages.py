@@ -1,10 +1,10 @@
 """Substring deduplication of repeated passages of words, located by Aho-Corasick automata.
 
 A word is removed if a window of 50 words that covers it also starts in a document with a smaller id. Phrases that repeat
-whole are settled by the dictionary of ``repeats``. For the others, an owner of triggers is a shard: it confirms which
+whole are settled by the dictionary of ``repeats``, which tells them apart by 96 bits of hash. For the others, an owner of triggers is a shard: it confirms which
 passages recur among the phrases sent to it, compiles them into automata over word numbers, and streams the phrases
 through these to locate every occurrence. A passage counts where its document is larger than the smallest one that the
-automaton found it in, so a hash alone never removes a word.
+automaton found it in, so among these a hash alone never removes a word.
 
 Nulls and ties: a null or empty text has no words. Rows with equal ids never remove each other's words; a null id counts
 as the largest. A text of any length is cut as a whole, in a slice of its own. An empty table gives no rows. Other columns
