@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.sampling import summed_before
@@ -146,11 +146,12 @@ def bleu(pairs: DataFrame, key: str, prediction: str, reference: str, order: int
     return mean.join(length).select(F.round(F.when(F.col("orders") == order, F.coalesce(penalty * F.exp("m"), F.lit(0.0))).otherwise(0.0), 6).alias("bleu"))
 
 
-def cider(rows: DataFrame, key: str, candidate: str, references: str, order: int = 4, sigma: float = 6.0, words: Callable[[Column], Column] = lower_words) -> DataFrame:
+def cider(rows: DataFrame, key: str, candidate: str, references: str, order: int = 4, sigma: float = 6.0, words: Callable[[Column], Column] = lower_words, places: int = 6) -> DataFrame:
     """(key, cider) of each row's candidate against its array of references: TF-IDF cosines of n-grams with clipped counts
     and a penalty for a difference in length, mean over references and n, times 10. Null without references.
 
-    A document of the inverse frequencies is a row's references together.
+    A document of the inverse frequencies is a row's references together. n-grams meet their frequencies by sorting: their
+    number is guessed far too small from the files, and they'd be broadcast.
     """
     sides = F.concat(F.array(F.col(candidate)), F.coalesce(F.col(references), F.array().cast("array<string>")))
     texts = rows.select(key, F.posexplode(sides).alias("side", "t")).select(key, "side", words(F.col("t")).alias("w"))
@@ -158,16 +159,16 @@ def cider(rows: DataFrame, key: str, candidate: str, references: str, order: int
     counts = grams.groupBy(key, "side", "length", "x.n", "x.g").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counts.where("side > 0").select(key, "n", "g").distinct().groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(float(max(rows.count(), 1)))) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
-    weighed = counts.join(frequency, ["n", "g"], "left").select(key, "side", "length", "n", "g", (F.col("tf") * idf).alias("weight"))
-    norms = weighed.groupBy(key, "side", "n").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    ours = weighed.where("side = 0").select(key, "n", "g", F.col("length").alias("our_length"), F.col("weight").alias("our_weight"))
-    shared = ours.join(weighed.where("side > 0"), [key, "n", "g"]).groupBy(key, "n", "side", "our_length", "length").agg(F.sum(F.least("our_weight", "weight") * F.col("weight")).alias("dot"))
-    near = shared.join(norms.where("side > 0"), [key, "side", "n"]).join(norms.where("side = 0").select(key, "n", F.col("norm").alias("our_norm")), [key, "n"])
+    ours = lambda x, *by: F.max(F.when(F.col("side") == 0, F.col(x))).over(Window.partitionBy(key, *by))
+    paired = counts.withColumn("our_tf", F.coalesce(ours("tf", "n", "g"), F.lit(0)))
+    weighed = paired.join(frequency.hint("merge"), ["n", "g"], "left").select(key, "side", "length", "n", (F.col("tf") * idf).alias("weight"), (F.col("our_tf") * idf).alias("our_weight"))
+    sums = weighed.groupBy(key, "n", "side", "length").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum(F.least("our_weight", "weight") * F.col("weight")).alias("dot"))
+    near = sums.select("*", ours("norm", "n").alias("our_norm"), ours("length", "n").alias("our_length")).where("side > 0")
     gap = F.col("our_length") - F.col("length")
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("our_norm")), F.lit(0.0))
     total = near.groupBy(key).agg(F.sum(cosine * F.exp(-gap * gap / (2 * sigma**2))).alias("total"))
     sized = rows.select(key, F.coalesce(F.size(F.col(references)), F.lit(0)).alias("n"))
-    return sized.join(total, key, "left").select(key, F.when(F.col("n") > 0, F.round(10 * F.coalesce("total", F.lit(0.0)) / (order * F.col("n")), 6)).alias("cider"))
+    return sized.join(total.hint("merge"), key, "left").select(key, F.when(F.col("n") > 0, F.round(10 * F.coalesce("total", F.lit(0.0)) / (order * F.col("n")), places)).alias("cider"))
 
 
 def conditional_accuracy(answer: Column, truths: Column, normalise: Callable[[Column], Column]) -> Column:

@@ -20,6 +20,7 @@ from millrace.functions import text as T
 from millrace.operators import arrange, joins, metrics, paragraphs, prompts, sampling
 from millrace.plans import evaluation, shaping
 from millrace.plans import paragraphs as plans
+from millrace.plans import samples as samples_plans
 from millrace.sources import readers
 from millrace.streaming import ingest
 
@@ -113,6 +114,15 @@ def test_bleu(spark):
     assert metrics.bleu(rows, "k", "p", "r").first().bleu == pytest.approx((5 / 6 * 3 / 5 * 2 / 4 * 1 / 3) ** 0.25, abs=1e-6)
 
 
+def test_cider_broadcasts_no_grams(spark, tmp_path):
+    # A small file of long texts: the planner takes its n-grams for as small as the file.
+    rows = [(k, t, "user", f"word{k} and more ") for k in range(4) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("conv_id", "turn", "role", "repeat(text, 500) AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = samples_plans.cider(spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 4
+
+
 def test_cider_against_plain_version(spark):
     rows = [(1, "a cat sits", ["a cat sits here", "the cat"]), (2, "a dog runs fast", ["a dog runs fast"]), (3, "nothing alike", ["something else entirely"]), (4, "x", []), (5, None, ["a b"]), (6, "a b", None)]
     got = {r.k: r.cider for r in metrics.cider(spark.createDataFrame(rows, "k long, c string, rs array<string>"), "k", "c", "rs").collect()}
