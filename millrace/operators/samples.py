@@ -228,12 +228,22 @@ def one_sample_each(neighbours: DataFrame, samples: DataFrame, image: str, sampl
     return best.select("query", "rank", "neighbour", sample)
 
 
+def _by_name(files: DataFrame, name: str) -> DataFrame:
+    return files.withColumn("_name", F.regexp_extract(name, r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
 def with_bytes(rows: DataFrame, files: DataFrame, url: str, name: str = "name", data: str = "data") -> DataFrame:
-    """Rows with the bytes of the file that is named by the SHA-256 of their address."""
-    named = files.select(F.regexp_extract(name, r"([^/]+?)(?:\.[^./]*)?$", 1).alias("_name"), data)
+    """Rows with the bytes of the file that is named by the SHA-256 of their address, once for every file of that name."""
+    named = _by_name(files, name).select("_name", data)
     return rows.join(named, F.sha2(F.col(url), 256) == F.col("_name")).drop("_name")
 
 
+def with_file(rows: DataFrame, files: DataFrame, url: str, name: str = "name") -> DataFrame:
+    """Rows whose address some file is named by, each once, however many files and rows share it."""
+    named = _by_name(files, name).select("_name").distinct()
+    return rows.join(named, F.sha2(F.col(url), 256) == F.col("_name"), "left_semi")
+
+
 def paired_batches(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """The n-th batch of one stream beside the n-th of the other; the shorter one ends it."""
     a, b = numbered(left, left_order), numbered(right, right_order)

@@ -126,6 +126,14 @@ def test_eval_answer_as_its_twin(spark, duck):
     assert got[0].x == " ".join(["2 cats"] * 40)
 
 
+def test_files_by_digest_keeps_each_page_once(spark, duck, tmp_path):
+    rows = [(1, "u", "one"), (2, "u", "twoé"), (3, "u", "three!"), (4, "v", None), (6, "w", "lone"), (7, None, "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, samples_plans.files_by_digest(spark, str(tmp_path)).collect()))
+    want = duck.execute(samples_plans.oracles()["j14_files_by_digest"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert got == sorted(want) == [(1, 3), (2, 5), (3, 6), (4, None)]
+
+
 def test_cider_broadcasts_no_grams(spark, tmp_path):
     # A small file of long texts: the planner takes its n-grams for as small as the file.
     rows = [(k, t, "user", f"word{k} and more ") for k in range(4) for t in range(3)]
