@@ -57,6 +57,9 @@ OWNER_HASHES = 2_000_000
 #: Prefix hashes behind each task of ``meet``. A class's bitmap goes to every task that one of its hashes belongs to, so a
 #: few large tasks send less than many small ones.
 MEET_HASHES = 4_000_000
+#: Links whose components one task finds at once (16 bytes each); more are joined by rounds of steps over all tasks, each of
+#: which costs five shuffles however few the links are.
+TASK_LINKS = 1_000_000
 #: Candidates whose texts are found by a broadcast of their ids.
 BROADCAST_CANDIDATES = 500_000
 
@@ -376,13 +379,42 @@ def may_link(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, maps: list[np.ndar
             yield from zip(p[good].tolist(), q[good].tolist(), strict=True)
 
 
+def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links and the smallest node of each one's component: roots hang on smaller ones until none is linked."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return names, names[root]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(c).to_numpy() for c in ("a", "b")] for batch in batches]
+        if parts:
+            found = least_members(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "label"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component of the links (a, b), by alternating star steps.
+    """(node, label): the smallest node of each component of the links (a, b), by alternating star steps beyond ``TASK_LINKS``.
 
     A step hangs every node's larger neighbours, then its smaller ones, on the smallest; each writes its links to the shared
     folder. Links never exceed those given, and the number of rounds grows with the logarithm of the longest path.
     """
-    edges, seen = materialize(links.where("a <> b").distinct()), None
+    given = materialize(links.where("a <> b"))
+    if given.count() <= TASK_LINKS:
+        return _at_once(given)
+    edges, seen = materialize(given.distinct()), None
+    discard(given)
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -73,6 +73,31 @@ def lower(text: str) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
 
+def test_components_of_few_links_need_no_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(150)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    found = jaccard.components(links)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [node] if node not in want else []
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = node
+                todo += near[x]
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    monkeypatch.setattr(jaccard, "TASK_LINKS", 0)
+    assert sorted(map(tuple, jaccard.components(links).collect())) == sorted(want.items())
+    monkeypatch.undo()
+    assert jaccard.components(links.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [4096, 4])
 def test_jaccard(edge_docs, edge_rows, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
